@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deuceframe.llm import tokens
+from deuceframe.llm import texts, tokens
 
-_MODULES = (tokens,)
+_MODULES = (tokens, texts)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
