@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deuceframe.llm import comparisons, texts, tokens
+from deuceframe.llm import aliases, comparisons, texts, tokens
 
-_MODULES = (comparisons, tokens, texts)
+_MODULES = (aliases, comparisons, tokens, texts)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
