@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import pi, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deuceframe.session import Scratch
@@ -36,105 +36,68 @@ class Skill:
     sweeps: int = 40
 
 
-def _ratio(t: Column) -> Column:
+def _ratio(t: str) -> str:
     """The normal density over the normal distribution function at t."""
     p, *b = TAIL
-    x = F.abs(t)
-    k = 1.0 / (1.0 + p * x)
-    poly = F.lit(0.0)
+    k = f"(1D / (1D + {p}D * abs({t})))"
+    poly = "0D"
     for c in reversed(b):
-        poly = (poly + c) * k
-    density = F.exp(-0.5 * x * x) / sqrt(2 * pi)
-    return F.when(t < 0, 1.0 / poly).otherwise(density / (1.0 - density * poly))
+        poly = f"({poly} + {c}D) * {k}"
+    density = f"exp(-0.5D * {t} * {t}) * {1 / sqrt(2 * pi)}D"
+    return f"case when {t} < 0 then 1D / ({poly}) else {density} / (1D - {density} * {poly}) end"
 
 
-def _messages(joined: DataFrame, skill: Skill, first: bool) -> DataFrame:
-    """Adds the precision and precision-weighted mean of one outcome's message to the winner and to the loser.
+def _messages(joined: str, skill: Skill, first: bool) -> str:
+    """SQL that adds the precision and precision-weighted mean of one outcome's message to winner and loser.
 
     A state contains the factor's own message, which has to come out first. Nothing is stored for a factor: its message
-    is solved for from the two states, once with the states as they are and once more with that message taken out.
+    is solved for from the two states, once with the states as they are and twice more with that message taken out.
     """
-    out = joined.select(
-        "*",
-        F.col("vw").alias("qw"),
-        F.col("vl").alias("ql"),
-        F.col("mw").alias("uw"),
-        F.col("ml").alias("ul"),
-    )
+    text = f"select *, vw qw, vl ql, mw uw, ml ul from ({joined})"
     for again in range(1 if first else 3):
-        if again:
-            for x in "wl":  # the state without the message: never less precise than a tenth of the state
-                rest = F.greatest(1 / F.col(f"v{x}") - F.col(f"p{x}"), 0.1 / F.col(f"v{x}"))
-                out = out.withColumn(f"q{x}", 1 / rest)
-                out = out.withColumn(f"u{x}", (F.col(f"m{x}") / F.col(f"v{x}") - F.col(f"t{x}")) * F.col(f"q{x}"))
-            out = out.drop("pw", "pl", "tw", "tl")
-        out = out.withColumn("c2", F.col("qw") + F.col("ql") + 2 * skill.performance**2)
-        out = out.withColumn("c", F.sqrt("c2")).withColumn("d", (F.col("uw") - F.col("ul")) / F.col("c"))
-        out = out.withColumn("v", _ratio(F.col("d")))
-        out = out.withColumn("w", F.least(F.greatest(F.col("v") * (F.col("v") + F.col("d")), F.lit(1e-9)), F.lit(1 - 1e-9)))
-        out = out.withColumn("gap", F.col("c") * F.col("v") / F.col("w"))
-        out = out.withColumn("pw", 1 / (F.col("c2") / F.col("w") - F.col("qw")))
-        out = out.withColumn("pl", 1 / (F.col("c2") / F.col("w") - F.col("ql")))
-        out = out.withColumn("tw", F.col("pw") * (F.col("uw") + F.col("gap")))
-        out = out.withColumn("tl", F.col("pl") * (F.col("ul") - F.col("gap")))
-        out = out.drop("c2", "c", "d", "v", "w", "gap")
-    return out
+        base = "board, winner, loser, n, mw, vw, ml, vl, fw, bl, free"
+        if again:  # the state without the message: never less precise than a tenth of the state
+            text = f"""select {base}, qw, ql, (mw / vw - tw) * qw uw, (ml / vl - tl) * ql ul from (
+              select *, 1D / greatest(1D / vw - pw, 0.1D / vw) qw, 1D / greatest(1D / vl - pl, 0.1D / vl) ql
+              from ({text}))"""
+        inner = f"{base}, qw, ql, uw, ul"
+        text = f"select {inner}, c, (uw - ul) / c d from (select *, sqrt(qw + ql + {2 * skill.performance**2}D) c from ({text}))"
+        text = f"select *, least(greatest(v * (v + d), 1e-9D), {1 - 1e-9}D) w from (select *, {_ratio('d')} v from ({text}))"
+        text = f"""select {base}, pw, pl, pw * (uw + c * v / w) tw, pl * (ul - c * v / w) tl from (
+          select *, 1D / (c * c / w - qw) pw, 1D / (c * c / w - ql) pl from ({text}))"""
+    return text
 
 
 def _sweep(edges: DataFrame, states: DataFrame, small: bool, skill: Skill, first: bool, beliefs: bool) -> DataFrame:
-    hint = F.broadcast if small else (lambda df: df)
-    side = lambda x: hint(
-        states.select(
-            "board",
-            F.col("item").alias(x),
-            F.col("mean").alias(f"m{x[0]}"),
-            F.col("variance").alias(f"v{x[0]}"),
-            F.col("forward").alias(f"f{x[0]}"),
-            F.col("backward").alias(f"b{x[0]}"),
-            F.col("part").alias(f"k{x[0]}"),
-        )
-    )
-    joined = edges.join(side("winner"), ["board", "winner"]).join(side("loser"), ["board", "loser"])
-    free = F.col("kw").isNull() & F.col("kl").isNull()  # marks pass only between items not yet in a part
-    joined = joined.withColumn("fw", F.col("fw") & free).withColumn("bl", F.col("bl") & free)
-    if beliefs:
-        joined = _messages(joined, skill, first)
-        p = lambda x: F.col(f"p{x}") * F.col("n")
-        t = lambda x: F.col(f"t{x}") * F.col("n")
-    else:
-        p = t = lambda x: F.lit(0.0)
-    no = F.lit(False)
-    sent = joined.select(
-        "board",
-        F.explode(
-            F.array(
-                F.struct(F.col("winner").alias("item"), p("w").alias("p"), t("w").alias("t"), no.alias("f"), F.col("bl").alias("b"), free.alias("o"), no.alias("i")),
-                F.struct(F.col("loser").alias("item"), p("l").alias("p"), t("l").alias("t"), F.col("fw").alias("f"), no.alias("b"), no.alias("o"), free.alias("i")),
-            )
-        ).alias("x"),
-    ).select("board", "x.*")
-    got = sent.groupBy("board", "item").agg(
-        F.sum("p").alias("p"), F.sum("t").alias("t"), F.max("f").alias("f"), F.max("b").alias("b"),
-        F.max("o").alias("o"), F.max("i").alias("i"),
-    )
-    old = states.join(got, ["board", "item"])
+    """The states after one round of messages; marks pass only between items that are not in a part yet."""
+    hint = "/*+ broadcast(x), broadcast(y) */" if small else ""
+    joined = f"""select {hint} e.board, winner, loser, n, x.mean mw, x.variance vw, y.mean ml, y.variance vl,
+      x.forward and x.part is null and y.part is null fw, y.backward and x.part is null and y.part is null bl,
+      x.part is null and y.part is null free
+      from {{edges}} e join {{states}} x on x.board = e.board and x.item = winner
+      join {{states}} y on y.board = e.board and y.item = loser"""
+    sums = "n * pw pw, n * tw tw, n * pl pl, n * tl tl" if beliefs else "0D pw, 0D tw, 0D pl, 0D tl"
+    sent = f"select board, winner, loser, fw, bl, free, {sums} from ({_messages(joined, skill, first) if beliefs else joined})"
+    got = f"""select board, item, sum(p) p, sum(t) t, max(f) f, max(b) b, max(o) o, max(i) i from (
+      select board, inline(array(
+        named_struct('item', winner, 'p', pw, 't', tw, 'f', false, 'b', bl, 'o', free, 'i', false),
+        named_struct('item', loser, 'p', pl, 't', tl, 'f', fw, 'b', false, 'o', false, 'i', free)))
+      from ({sent})) group by board, item"""
     rate = 1.0 if first else skill.damping
-    precision = (1 - rate) / F.col("variance") + rate * (1 / skill.deviation**2 + F.col("p"))
-    weighted = (1 - rate) * F.col("mean") / F.col("variance") + rate * (skill.mean / skill.deviation**2 + F.col("t"))
-    return old.select(
-        "board",
-        "item",
-        "wins",
-        "losses",
-        ((weighted / precision) if beliefs else F.col("mean")).alias("mean"),
-        ((1 / precision) if beliefs else F.col("variance")).alias("variance"),
-        (F.col("forward") | F.col("f")).alias("forward"),
-        (F.col("backward") | F.col("b")).alias("backward"),
-        # an unassigned item that beat nobody, or lost to nobody, of the unassigned is a part of its own
-        F.when(F.col("part").isNotNull(), F.col("part")).when(~(F.col("o") & F.col("i")), F.col("item")).alias("part"),
-        (F.abs((weighted / precision) - F.col("mean")) * F.sqrt(precision) if beliefs else F.lit(0.0)).alias("moved"),
-        (((~F.col("forward")) & F.col("f")) | ((~F.col("backward")) & F.col("b"))).alias("marked"),
-        (F.col("part").isNull() & ~(F.col("o") & F.col("i"))).alias("single"),
+    new = f"""select s.*, g.f, g.b, g.o, g.i,
+      {1 - rate}D / variance + {rate}D * ({1 / skill.deviation**2}D + g.p) precision,
+      {1 - rate}D * mean / variance + {rate}D * ({skill.mean / skill.deviation**2}D + g.t) weighted
+      from {{states}} s join ({got}) g on g.board = s.board and g.item = s.item"""
+    mean, variance = ("weighted / precision", "1D / precision") if beliefs else ("mean", "variance")
+    moved = f"abs({mean} - mean) * sqrt(precision)" if beliefs else "0D"
+    return edges.sparkSession.sql(
+        f"""select board, item, wins, losses, {mean} mean, {variance} variance, forward or f forward, backward or b backward,
+        -- an unassigned item that beat nobody, or lost to nobody, of the unassigned is a part of its own
+        case when part is not null then part when not (o and i) then item end part,
+        {moved} moved, (not forward and f) or (not backward and b) marked, part is null and not (o and i) single
+        from ({new})""",
+        edges=edges,
+        states=states,
     )
 
 
