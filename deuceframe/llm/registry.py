@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deuceframe.llm import aliases, comparisons, crosswalk, texts, tokens
+from deuceframe.llm import aliases, comparisons, crosswalk, history, texts, tokens
 
-_MODULES = (aliases, comparisons, crosswalk, tokens, texts)
+_MODULES = (aliases, comparisons, crosswalk, history, tokens, texts)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
