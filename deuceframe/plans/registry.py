@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deuceframe.plans import audits
+from deuceframe.plans import audits, histories
 
-_MODULES = (audits,)
+_MODULES = (audits, histories)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
