@@ -36,7 +36,7 @@ def decaying_k(prior_matches: Column) -> Column:
 
 
 def clipped(p: Column, clip: float) -> Column:
-    return F.greatest(F.least(p, F.lit(1.0 - clip)), F.lit(clip))
+    return F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1.0 - clip)), F.lit(clip)))  # greatest alone skips nulls
 
 
 def logit(p: Column, clip: float = 1e-12) -> Column:
