@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deuceframe.plans import audits, cleaning, histories
+from deuceframe.plans import audits, cleaning, histories, linking
 
-_MODULES = (audits, cleaning, histories)
+_MODULES = (audits, cleaning, histories, linking)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
