@@ -99,7 +99,7 @@ def rating_suite(pdf: pd.DataFrame, majors: tuple[str, ...] = ("S",)) -> pd.Data
     x = Numbered.of(pdf)
     n = len(x.players)
     major = np.where(pdf.tourney_level.isin(majors), 1.1, 1.0)
-    share = pdf.game_share.fillna(1.0).to_numpy(float)
+    share = pd.to_numeric(pdf.game_share).fillna(1.0).to_numpy(float)
     fixed, fixed_s = np.full(n, INITIAL), np.full((3, n), INITIAL)
     decay, weighted = np.full(n, INITIAL), np.full(n, INITIAL)
     mix, mix_s = np.full(n, INITIAL), np.full((3, n), INITIAL)

@@ -118,7 +118,7 @@ def infobox_date(html: Column) -> Column:
     return F.when(day != "", F.date_format(F.try_to_timestamp(text, F.lit("d MMMM yyyy")), "yyyy-MM-dd"))
 
 
-_PARAMETER = re.compile(r"\|\s*RD(\d+)-(team|seed|score)(\d+)(?:-(\d+))?\s*=\s*([^\n|]*(?:\[\[[^\]]*\]\][^\n|]*)*)")
+_PARAMETER = re.compile(r"\|\s*RD(\d+)-(team|seed|score)(\d+)(?:-(\d+))?\s*=\s*((?:\[\[[^\]]*\]\]|[^\n|])*)")
 
 
 def _plain_cell(text: str) -> str:
