@@ -15,7 +15,7 @@ from deuceframe.llm.bktree import within_distance
 from deuceframe.sources.tables import table
 
 #: A word in so many titles of the catalogue, or this share of them, names no event ("open", "cup").
-GENERIC_TITLES, GENERIC_SHARE = 8, 0.02
+GENERIC_TITLES, GENERIC_SHARE = 3, 0.02
 #: Edits allowed by the length of the text.
 LIMITS = ((12, 3), (7, 2), (5, 1), (4, 0))
 #: Points of an exact find, and what an edit takes off: a name of the event itself, and its city.

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Up to so many entries one broadcast tree is used; beyond, shards of this size.
 SHARD_ENTRIES = 50_000
 #: Cells of the distance tables held at a time.
-CELLS = 12_000_000
+CELLS = 3_000_000
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
