@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -37,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"{SHARED_DIR} must name a folder all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="deuceframe-")
+    folder = tempfile.mkdtemp(prefix="deuceframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = "file://" + folder
     spark.conf.set(SHARED_DIR, path)
     return path
 
