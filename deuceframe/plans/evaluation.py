@@ -11,6 +11,7 @@ from deuceframe.operators.evaluation import (
     yearly_models,
 )
 from deuceframe.operators.folds import ordered_fold, pooled_elo, rating_suite, sequential_ratings, serve_filter
+from deuceframe.operators.models import fit_trees, symmetric_forecast
 from deuceframe.plans.contests import CONTESTS_SQL, contests
 from deuceframe.sources.tables import table
 
@@ -158,6 +159,20 @@ def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("q", calibrated).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("raw"), F.avg(log_loss(F.col("q"), F.col("y"))).alias("calibrated"))
 
 
+def tree_forecasts(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees and a forest fitted on matches before 2023, scored on those from 2023, against the stored price."""
+    c = contests(spark, folder).where("a_won is not null")
+    elo = elo_forecasts(spark, folder).select("match_id", (F.col("p_overall") - 0.5).alias("elo"), (F.col("p_surface") - 0.5).alias("surface_elo"))
+    rows = c.join(elo, "match_id").select("match_id", "calendar_year", F.col("a_won").cast("double").alias("y"), (F.col("p") - 0.5).alias("price"), "elo", "surface_elo", F.col("best_of").cast("double").alias("best_of"))
+    signed, context = ["price", "elo", "surface_elo"], ["best_of"]
+    past, target = rows.where("calendar_year < 2023"), rows.where("calendar_year >= 2023")
+    forecasts = {
+        kind: symmetric_forecast(fit_trees(past, signed, context, "y", kind), target, signed, context, "match_id") for kind in ("boosted", "forest")
+    } | {"price": target.where("price is not null").select("match_id", (F.col("price") + 0.5).alias("p"))}
+    both = identical_population(forecasts, "match_id").join(target.select("match_id", "calendar_year", "y"), "match_id")
+    return ladder(both, list(forecasts), "calendar_year", F.col("y")).select("year", "model", "n", "log_loss", "brier", "accuracy")
+
+
 _SCORED = f"""with {CONTESTS_SQL}, z as (select match_id, calendar_year, tourney_id, match_date, a_won::int y, 0.5::double p_half, p p_price, 0.5::double + 0.8::double * (p - 0.5::double) p_shrunk from c
   where a_won is not null and p is not null and identity_tier = 'primary')"""
 _CL = "greatest(least({p}, 1 - 1e-6::double), 1e-6::double)"
@@ -174,7 +189,7 @@ QUERIES = {
     "rs4_rated_ladder": rated_ladder, "ag3_ladder_years": ladder_years, "ag2_ladder_pooled": ladder_pooled, "ag6_contrasts": contrasts,
     "ag4_reliability": reliability_bins, "ag16_calibration_weights": calibration_weights, "ag12_dispersion": dispersion, "so3_selected_candidates": selected_candidates,
     "ml8_pooled_forecasts": pooled_forecasts, "fo2_elo_forecasts": elo_forecasts, "fo8_suite_forecasts": suite_forecasts, "fo4_deviation_ratings": deviation_ratings,
-    "fo6_serve_forecasts": serve_forecasts, "rs2_bootstrap_interval": bootstrap_interval, "ml1_walk_forward": walk_forward,
+    "fo6_serve_forecasts": serve_forecasts, "rs2_bootstrap_interval": bootstrap_interval, "ml1_walk_forward": walk_forward, "ml3_tree_forecasts": tree_forecasts,
 }
 SQL = {
     "ag3_ladder_years": f"""{_LONG} select calendar_year "year", model, count(*) n, sum((p < 1e-6 or p > 1 - 1e-6)::int)::bigint clips, round(avg(loss), 8) log_loss, round(avg((p - y) * (p - y)), 8) brier,

@@ -213,3 +213,18 @@ def test_evaluation(spark):
     blocks = spark.createDataFrame([(i % 40, float(v)) for i, v in enumerate(x)], "b int, d double")
     r = block_bootstrap(blocks, ["b"], F.col("d"), 200).first()
     assert r.lower < r["mean"] < r.upper and r.upper - r.lower == pytest.approx(4 / math.sqrt(4000), rel=0.4)
+
+
+def test_trees_are_swap_symmetric(spark):
+    from deuceframe.operators.models import fit_trees, symmetric_forecast
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=800)
+    y = (rng.random(800) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    rows = [(i, None if i % 9 == 0 else float(v), 3.0, float(t)) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id int, s double, best_of double, y double")
+    model = fit_trees(df, ["s"], ["best_of"], "y", maxIter=5)
+    p = {r.id: r.p for r in symmetric_forecast(model, df, ["s"], ["best_of"], "id").collect()}
+    q = {r.id: r.p for r in symmetric_forecast(model, df.withColumn("s", -F.col("s")), ["s"], ["best_of"], "id").collect()}
+    assert all(p[i] + q[i] == pytest.approx(1.0) for i in p) and p[0] == pytest.approx(0.5)
+    assert np.corrcoef([x[i] for i in p if i % 9], [v for i, v in p.items() if i % 9])[0, 1] > 0.8
