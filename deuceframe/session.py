@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes the package importable in the Python workers, wherever the driver found it; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_deuceframe_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="deuceframe-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "deuceframe_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._deuceframe_shipped = True
+
+
 class Scratch:
     """Tables written to the shared folder, so that later steps neither recompute nor depend on one executor."""
 
