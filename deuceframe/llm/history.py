@@ -9,13 +9,14 @@ of its segment, beams give it its neighbours, and those are compared with it exa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deuceframe.llm.smallworld import Graph, exhaustive
+from deuceframe.llm.smallworld import Graph
 from deuceframe.session import Scratch
 from deuceframe.sources.tables import table
 
@@ -25,8 +26,8 @@ SEGMENT_ROWS = 4096
 COMPACT_AFTER = 4
 #: How far apart the vectors of two reports with the same players can lie, by their days.
 RADIUS = 0.45
-#: Neighbours that a row without one of its players asks for.
-WIDE = 128
+#: Candidate pairs that are compared at once.
+PAIRS = 1 << 20
 #: Days by which two reports of a match may differ, in rounds that a player plays once and in repeated ones.
 DAYS_ONCE, DAYS_REPEATED = 21, 3
 #: Days after which the days' place in the vector repeats: neighbouring weeks lie apart, and no day far away.
@@ -189,17 +190,68 @@ def _take(rows: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
     return {k: v[at] for k, v in rows.items()}
 
 
-def _without(rows: dict[str, np.ndarray], side: str) -> np.ndarray:
-    """The rows' vectors as if the player of one side were unknown."""
-    return vectors(rows | {side: np.full(len(rows[side]), -1)})
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """One number for each row of equal columns (others may share it: the comparison follows)."""
+    h = np.full(len(parts[0]), 0x51ED270B, np.uint64)
+    for p in parts:
+        h = (h ^ p.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _equal_keys(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with equal keys, from (rows, keys) of both sides, some PAIRS at a time."""
+    order = np.argsort(theirs[1], kind="stable")
+    keys = theirs[1][order]
+    start, stop = np.searchsorted(keys, mine[1], "left"), np.searchsorted(keys, mine[1], "right")
+    met = np.flatnonzero(stop > start)
+    ends = np.cumsum(stop[met] - start[met])
+    at = 0
+    while at < len(met):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        some = met[at:to]
+        n = stop[some] - start[some]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        yield np.repeat(mine[0][some], n), theirs[0][order[np.repeat(start[some], n) + within]]
+        at = to
+
+
+def _by_player(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of the tourney with each known player."""
+    where = [at[rows[side][at] >= 0] for side in ("lo", "hi")]
+    keys = [_mixed(rows["tourney"][w], rows[side][w]) for w, side in zip(where, ("lo", "hi"), strict=True)]
+    return np.concatenate(where), np.concatenate(keys)
+
+
+def _by_counts(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of the tourney with every two known counts: what confirms a match has two equal ones at least."""
+    where, keys = [], []
+    for i, (c, d) in enumerate(combinations(COUNTS, 2)):
+        w = at[(rows[c][at] >= 0) & (rows[d][at] >= 0)]
+        where.append(w), keys.append(_mixed(rows["tourney"][w], np.full(len(w), i), rows[c][w], rows[d][w]))
+    return np.concatenate(where), np.concatenate(keys)
+
+
+def lacking_pairs(rows: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair (row, held row) that can be one match and of which one lacks a player.
+
+    Of such a pair, either a player is common, or each names only another of the two and counts confirm it.
+    """
+    mine, theirs = np.flatnonzero(rows["hi"] < 0), np.flatnonzero(held["hi"] < 0)
+    if len(mine):
+        yield from _equal_keys(_by_player(rows, mine), _by_player(held, np.arange(len(held["hi"]))))
+    if len(theirs):
+        yield from _equal_keys(_by_player(rows, np.flatnonzero(rows["hi"] >= 0)), _by_player(held, theirs))
+    if len(mine) and len(theirs):
+        yield from _equal_keys(_by_counts(rows, mine), _by_counts(held, theirs))
 
 
 class SegmentIndex:
     """The shards of one segment. A shard has the rows, their first reports, and a graph of their vectors.
 
-    A row that lacks a player lies a player's length away from its match, with many others nearer. Such a row asks every
-    node for its WIDE nearest; and for finding such nodes, each shard has a second graph of them alone, which is asked
-    with either player left out.
+    A row that lacks a player lies a player's length away from its match, with any number of others nearer. Such rows,
+    asked for or asking, meet all rows of their tourney with the same player instead (or with the same counts, where both
+    lack one).
     """
 
     def __init__(self, kept: int = 1):
@@ -213,47 +265,35 @@ class SegmentIndex:
         graph = Graph(v)
         if queries is not None and len(queries):
             graph.tune(queries, RADIUS)
-        self.append((rows, first, v, graph, *self._partial(rows, v)))
+        self.append((rows, first, v, graph))
 
     def append(self, shard: tuple) -> None:
         self.shards.append(shard)
         if len(self.shards) > COMPACT_AFTER + self.kept:
             self.compact()
 
-    @staticmethod
-    def _partial(rows: dict[str, np.ndarray], v: np.ndarray) -> tuple[np.ndarray, Graph]:
-        lacking = np.flatnonzero(rows["hi"] < 0)
-        return lacking, Graph(v[lacking])
-
     def compact(self) -> None:
         """Merges the shards that are not kept apart into one."""
         rest = self.shards[self.kept :]
         rows = {k: np.concatenate([s[0][k] for s in rest]) for k in rest[0][0]}
         first, v = np.concatenate([s[1] for s in rest]), np.concatenate([s[2] for s in rest])
-        self.shards = [*self.shards[: self.kept], (rows, first, v, Graph(v), *self._partial(rows, v))]
+        self.shards = [*self.shards[: self.kept], (rows, first, v, Graph(v))]
 
     def first_reports(self, rows: dict[str, np.ndarray]) -> np.ndarray:
         """The smallest first report of the matches that equal each row, of rows with a smaller rec_id; -1: none."""
         v = vectors(rows)
         out = np.full(len(v), np.iinfo(np.int64).max)
-        incomplete = np.flatnonzero(rows["hi"] < 0)
-        for held, first, held_v, graph, lacking, partial in self.shards:
+        for held, first, held_v, graph in self.shards:
             if not len(held_v):
                 continue
-            finds = [(np.arange(len(v)), graph.nearest(v))]
-            if len(incomplete):
-                finds.append((incomplete, exhaustive(held_v, v[incomplete], WIDE)))
-            if len(lacking):
-                for side in ("lo", "hi"):
-                    near = partial.nearest(_without(rows, side))
-                    finds.append((np.arange(len(v)), np.where(near >= 0, lacking[near], -1)))
-            q = np.concatenate([np.repeat(who, near.shape[1]) for who, near in finds])
-            x = np.concatenate([near.ravel() for _, near in finds])
-            q, x = q[x >= 0], x[x >= 0]
-            likely = (held["rec_id"][x] < rows["rec_id"][q]) & (held["tourney"][x] == rows["tourney"][q])
-            q, x = q[likely], x[likely]
-            equal = same_match(_take(rows, q), _take(held, x))
-            np.minimum.at(out, q[equal], first[x[equal]])
+            near = graph.nearest(v)
+            x = near.ravel()
+            found = (np.repeat(np.arange(len(v)), near.shape[1])[x >= 0], x[x >= 0])
+            for q, x in chain([found], lacking_pairs(rows, held)):
+                likely = (held["rec_id"][x] < rows["rec_id"][q]) & (held["tourney"][x] == rows["tourney"][q])
+                q, x = q[likely], x[likely]
+                equal = same_match(_take(rows, q), _take(held, x))
+                np.minimum.at(out, q[equal], first[x[equal]])
         return np.where(out == np.iinfo(np.int64).max, -1, out)
 
 

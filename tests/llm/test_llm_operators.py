@@ -191,6 +191,33 @@ def test_index_shards_and_compaction():
     assert (index.first_reports(again) >= 0).mean() > 0.995
 
 
+def _dense_league(n=4000, a_day=530):
+    """Rows of one tourney, round robin, many a day, between players who often play."""
+    rng = np.random.default_rng(5)
+    lo, hi = rng.integers(1, 400, n), rng.integers(400, 800, n)
+    return {"rec_id": np.arange(n), "batch_no": np.zeros(n, int), "stays": np.ones(n, int), "tourney": np.full(n, 5), "round": np.full(n, 7),
+            "day": 19000 + np.arange(n) // a_day, "lo": lo, "hi": hi, **{c: rng.integers(20, 90, n) for c in history.COUNTS}}
+
+
+def test_rows_without_a_player_meet_all_rows_of_their_player():
+    rows = _dense_league()
+    n = len(rows["rec_id"])
+    lacking = rows | {"hi": np.full(n, -1)}
+    off = {"rec_id": rows["rec_id"] + n, "day": rows["day"] + np.arange(n) % 4 - 1}
+    other = lacking | {"lo": rows["hi"]}  # names only the other player, the counts in the same places
+    for held, asked in ((rows, lacking | off), (lacking, rows | off), (lacking, other | off)):
+        index = history.SegmentIndex()
+        index.add(held, held["rec_id"])
+        got = index.first_reports(asked)
+        every = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+        want = np.full(n, n)
+        for at in range(0, n * n, 1 << 20):
+            q, x = every[0][at : at + (1 << 20)], every[1][at : at + (1 << 20)]
+            equal = history.same_match(history._take(asked, q), history._take(held, x))
+            np.minimum.at(want, q[equal], held["rec_id"][x[equal]])
+        assert (want < n).mean() > 0.7 and (got == np.where(want == n, -1, want)).all()
+
+
 def test_matching(spark):
     rng = random.Random(6)
     syllables = ["bra", "kel", "vin", "tos", "mur", "lai", "zon", "pet", "qui", "hal", "dre", "fos"]
