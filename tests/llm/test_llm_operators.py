@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from deuceframe.llm import bktree, bpe, history, matching, packing, ranking, smallworld, truncation
 from deuceframe.llm.aliases import map_values
+from deuceframe.session import Scratch
 
 RANKS = bpe.read_ranks()
 
@@ -246,6 +247,20 @@ def test_matching(spark):
     assert matching.match_sources(m.where("false"), a, judged).count() == 0
 
 
+def test_large_keys_keep_undated_rows(spark, monkeypatch):
+    sets = [(6, 1), (6, 2), (6, 3), (6, 4)]
+    day = dt.date(2022, 1, 3)
+    market = [(i, "Kelvin B.", "Tosmur Q.", None, None, day if i % 3 == 0 else None, 2022, None, None, *(sets[i % 4] if i % 2 else (None, None)), 6, 0, None, None) for i in range(12)]
+    archive = [(f"k{i}", "Bra Kelvin", "Qui Tosmur", None, day + dt.timedelta(7 * i), 2022, None, None, None, "6-4 7-5") for i in range(12)]
+    m = spark.createDataFrame(market, "id long, winner string, loser string, event string, title string, day date, season int, round string, surface string, w1 int, l1 int, w2 int, l2 int, w3 int, l3 int")
+    a = spark.createDataFrame(archive, "id string, winner string, loser string, event string, day date, season int, round string, draw int, surface string, score string")
+    found = lambda: sorted(map(tuple, matching.candidates(m, a, Scratch(spark, "test")).collect()))
+    whole = found()
+    assert {(i, f"k{j}") for i in range(12) if i % 3 for j in range(12)} <= set(whole)
+    monkeypatch.setattr(matching, "BLOCK_PAIRS", 10)
+    assert found() == whole
+
+
 def test_truncation(spark):
     rng = random.Random(8)
     subjects = [w.capitalize() for w in ("the umpire", "a player", "the desk", "our correspondent", "the referee", "nobody here")]
