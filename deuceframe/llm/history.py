@@ -232,6 +232,18 @@ def _by_counts(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray,
     return np.concatenate(where), np.concatenate(keys)
 
 
+def _by_pair(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys) of the tourney with both players."""
+    return at, _mixed(*[rows[c][at] for c in ("tourney", "lo", "hi")])
+
+
+def distant_pairs(rows: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of a row whose match may be dated weeks apart, beyond the graphs' RADIUS, and a held row of both players."""
+    mine = np.flatnonzero((rows["hi"] >= 0) & (rows["round"] != ROUND_NUMBER["RR"]))
+    if len(mine):
+        yield from _equal_keys(_by_pair(rows, mine), _by_pair(held, np.flatnonzero(held["hi"] >= 0)))
+
+
 def lacking_pairs(rows: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Every pair (row, held row) that can be one match and of which one lacks a player.
 
@@ -251,7 +263,7 @@ class SegmentIndex:
 
     A row that lacks a player lies a player's length away from its match, with any number of others nearer. Such rows,
     asked for or asking, meet all rows of their tourney with the same player instead (or with the same counts, where both
-    lack one).
+    lack one). So do rows in rounds that are played once, whose days may lie weeks apart, by both players.
     """
 
     def __init__(self, kept: int = 1):
@@ -289,7 +301,7 @@ class SegmentIndex:
             near = graph.nearest(v)
             x = near.ravel()
             found = (np.repeat(np.arange(len(v)), near.shape[1])[x >= 0], x[x >= 0])
-            for q, x in chain([found], lacking_pairs(rows, held)):
+            for q, x in chain([found], lacking_pairs(rows, held), distant_pairs(rows, held)):
                 likely = (held["rec_id"][x] < rows["rec_id"][q]) & (held["tourney"][x] == rows["tourney"][q])
                 q, x = q[likely], x[likely]
                 equal = same_match(_take(rows, q), _take(held, x))
@@ -376,9 +388,10 @@ def repeated_deliveries(records: DataFrame, first_batch: int = 1) -> DataFrame:
         "tourney", F.greatest(F.lit(2 * (DAYS_REPEATED + 2)), F.ceil(F.col("span") * SEGMENT_ROWS / F.col("size"))).cast("int").alias("width")
     )
     placed = unique.join(F.broadcast(large), "tourney", "left")
-    reach = DAYS_REPEATED + 1
+    # an asking row comes into every slice that has a day on which its match may be reported
+    reach = F.when(F.col("round") == ROUND_NUMBER["RR"], F.lit(DAYS_REPEATED + 1)).otherwise(F.lit(DAYS_ONCE))
     slices = F.when(F.col("width").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.array_distinct(F.transform(F.array(F.lit(0), F.lit(-reach), F.lit(reach)), lambda s: F.floor((F.col("day") + s) / F.col("width"))))
+        F.sequence(F.floor((F.col("day") - reach) / F.col("width")), F.floor((F.col("day") + reach) / F.col("width")))
     )
     own = F.when(F.col("width").isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(F.col("day") / F.col("width")))
     spread = placed.withColumn("own", own).withColumn("slice", F.explode(slices))

@@ -192,6 +192,16 @@ def test_index_shards_and_compaction():
     assert (index.first_reports(again) >= 0).mean() > 0.995
 
 
+def test_repeats_weeks_apart_cross_date_slices(spark, monkeypatch):
+    day = dt.date(2022, 3, 1)
+    rows = [_record(i, 0, a=200000 + i, b=300000 + i, day=day + dt.timedelta(i), points=None) for i in range(1, 101)]
+    rows += [_record(100 + i, 1, a=200000 + i, b=300000 + i, day=day + dt.timedelta(i + (21 if i % 2 else -13)), points=None) for i in range(1, 101)]
+    df = spark.createDataFrame(rows, RECORD)
+    want = {100 + i: i for i in range(1, 101)}
+    monkeypatch.setattr(history, "SEGMENT_ROWS", 20)
+    assert {r.rec_id_repeat: r.rec_id_first for r in history.repeated_deliveries(df).collect()} == want
+
+
 def _dense_league(n=4000, a_day=530):
     """Rows of one tourney, round robin, many a day, between players who often play."""
     rng = np.random.default_rng(5)
