@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deuceframe.functions.numbers import logit, match_probability
+from deuceframe.functions.scores import winner_game_share
 from deuceframe.operators.evaluation import (
     block_bootstrap, equal_year_slope, identical_population, ladder, log_loss, pool, pooled, reliability, select_within, swap_symmetric_predictions,
     yearly_models,
@@ -98,8 +99,23 @@ def elo_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     return ordered_fold(rows, ["tour"], ["day", "match_id"], pooled_elo, "match_id string, p_overall double, p_surface double, p double")
 
 
+def game_shares(rows: DataFrame, raw: DataFrame) -> DataFrame:
+    """rows with game_share: the winner's share of games by the archive score of the same tourney, round, players and
+    winner; null where there is none, or several that differ."""
+    key = ["tourney_id", "round", "low", "high", "winner"]
+    scores = raw.select(
+        "tourney_id", "round", F.least("winner_id", "loser_id").alias("low"), F.greatest("winner_id", "loser_id").alias("high"),
+        F.col("winner_id").alias("winner"), winner_game_share(F.col("score")).alias("share"),
+    ).groupBy(*key).agg(F.when(F.min("share") == F.max("share"), F.max("share")).alias("game_share"))
+    sides = rows.withColumn("low", F.least("player_a", "player_b")).withColumn("high", F.greatest("player_a", "player_b"))
+    won = F.when(F.col("a_won"), F.col("player_a")).when(~F.col("a_won"), F.col("player_b"))
+    return sides.withColumn("winner", won).join(scores, key, "left").drop("low", "high", "winner")
+
+
 def suite_forecasts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _fold_rows(spark, folder).select("tour", "match_id", "day", "player_a", "player_b", "surface", "a_won", "tourney_level", F.lit(None).cast("double").alias("game_share"))
+    c = contests(spark, folder, *FOLD_COLUMNS, "tourney_id", "round").where("player_a is not null and player_b is not null")
+    shared = game_shares(c.withColumn("tour", F.lit("all")), table(spark, folder, "raw_matches"))
+    rows = shared.select("tour", "match_id", "day", "player_a", "player_b", "surface", "a_won", "tourney_level", "game_share")
     return ordered_fold(rows, ["tour"], ["day", "match_id"], rating_suite, "match_id string, fixed_k double, decaying_k double, games_weighted double, surface_mix double")
 
 

@@ -18,6 +18,7 @@ from deuceframe.operators.known_at import attributes_as_known, change_history, n
 from deuceframe.operators.lagged import decayed_sum, form_over_last, released
 from deuceframe.operators.linking import cascade, components, guarded_patch, merge_with_precedence, residual_similarity, snapshot_diff, sole_claimants, unique_pairs
 from deuceframe.operators.rolling import daily_totals, entity_calendar, trailing_totals
+from deuceframe.plans import evaluation as evaluation_plans
 
 
 def test_trailing_totals_against_brute_force(spark):
@@ -228,3 +229,10 @@ def test_trees_are_swap_symmetric(spark):
     q = {r.id: r.p for r in symmetric_forecast(model, df.withColumn("s", -F.col("s")), ["s"], ["best_of"], "id").collect()}
     assert all(p[i] + q[i] == pytest.approx(1.0) for i in p) and p[0] == pytest.approx(0.5)
     assert np.corrcoef([x[i] for i in p if i % 9], [v for i, v in p.items() if i % 9])[0, 1] > 0.8
+
+
+def test_game_shares_reach_the_suite(spark):
+    rows = spark.createDataFrame([("m1", "T", "QF", 1, 2, True), ("m2", "T", "SF", 2, 1, True), ("m3", "T", "F", 1, 2, True), ("m4", "U", "QF", 1, 2, None)], "match_id string, tourney_id string, round string, player_a long, player_b long, a_won boolean")
+    raw = spark.createDataFrame([("T", "QF", 1, 2, "6-0 6-0"), ("T", "SF", 2, 1, "6-4 4-6 6-4"), ("T", "F", 2, 1, "6-1 6-1"), ("U", "QF", 1, 2, "6-1 6-1")], "tourney_id string, round string, winner_id long, loser_id long, score string")
+    got = {r.match_id: r.game_share for r in evaluation_plans.game_shares(rows, raw).collect()}
+    assert got == {"m1": 1.0, "m2": pytest.approx(16 / 30), "m3": None, "m4": None}
