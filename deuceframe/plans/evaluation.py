@@ -152,26 +152,39 @@ def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
     return block_bootstrap(_scored(spark, folder), ["tourney_id"], log_loss(F.col("p_shrunk"), y) - log_loss(F.col("p_price"), y), 400)
 
 
+def quarter_folds(rows: DataFrame) -> DataFrame:
+    """(fold, first, last, c) of each quarter with matches whose training window, the year that ends two days before it,
+    begins no earlier than the first quarter with matches."""
+    quarters = rows.where("match_date is not null").select(F.trunc("match_date", "quarter").alias("start")).distinct()
+    least = quarters.agg(F.min("start").alias("least"))
+    plan = quarters.crossJoin(F.broadcast(least)).withColumn("first", F.add_months("start", -12)).where("first >= least")  # least: one row
+    return plan.select(F.concat(F.year("start"), F.lit("Q"), F.quarter("start")).alias("fold"), "first", F.date_sub("start", 2).alias("last"), F.lit(1.0).alias("c"))
+
+
 def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
-    """Losses of yearly models on rank and point differences, each fitted before its quarter, calibrated on the past."""
+    """Losses of yearly models on rank and point differences, each fitted before its quarter; from the third quarter on
+    calibrated on all earlier ones."""
     f = table(spark, folder, "features").select("match_id", "rank_a", "matches_28d_a", "rest_days_a")
     c = contests(spark, folder, "match_id", "match_date", "a_won", "calendar_year", "ps_probability_a").where("a_won is not null")
     rows = c.join(f, "match_id").select(
         "match_id", "match_date", "calendar_year", F.col("a_won").cast("int").alias("y"), F.coalesce(logit(F.col("p")), F.lit(0.0)).alias("x1"),
         (F.coalesce("matches_28d_a", F.lit(0)) / 10.0 - 0.5).alias("x2"), F.coalesce(F.log1p(F.col("rest_days_a").cast("double")) - 2.0, F.lit(0.0)).alias("x3"),
     )
-    plan = spark.createDataFrame([("2023Q1", "2022-01-01", "2022-12-30", 1.0), ("2023Q2", "2022-04-01", "2023-03-30", 1.0), ("2023Q3", "2022-07-01", "2023-06-29", 1.0)], "fold string, f string, l string, c double")
-    plan = plan.select("fold", F.to_date("f").alias("first"), F.to_date("l").alias("last"), "c")
+    plan = quarter_folds(rows)
     betas = {r.fold: r.beta for r in yearly_models(rows, plan, ["x1", "x2", "x3"]).collect()}  # one row per fold
     parts = []
     for fold, beta in sorted(betas.items()):
         quarter = rows.where(F.concat(F.year("match_date"), F.lit("Q"), F.quarter("match_date")) == fold)
         parts.append(swap_symmetric_predictions(quarter, ["x1", "x2", "x3"], beta).withColumn("fold", F.lit(fold)))
+    if not parts:
+        return spark.createDataFrame([], "fold string, n bigint, raw double, calibrated double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    slope = equal_year_slope(out.where("fold < '2023Q3'"), F.col("p"), F.col("y"), "fold")
-    calibrated = F.when(F.col("fold") == "2023Q3", pool({"p": logit(F.col("p")) * slope}, {"p": 1.0})).otherwise(F.col("p"))
+    calibrated = F.col("p")
+    for fold in sorted(betas)[2:]:
+        slope = equal_year_slope(out.where(F.col("fold") < fold), F.col("p"), F.col("y"), "fold")
+        calibrated = F.when(F.col("fold") == fold, pool({"p": logit(F.col("p")) * slope}, {"p": 1.0})).otherwise(calibrated)
     return out.withColumn("q", calibrated).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(log_loss(F.col("p"), F.col("y"))).alias("raw"), F.avg(log_loss(F.col("q"), F.col("y"))).alias("calibrated"))
 
 

@@ -236,3 +236,11 @@ def test_game_shares_reach_the_suite(spark):
     raw = spark.createDataFrame([("T", "QF", 1, 2, "6-0 6-0"), ("T", "SF", 2, 1, "6-4 4-6 6-4"), ("T", "F", 2, 1, "6-1 6-1"), ("U", "QF", 1, 2, "6-1 6-1")], "tourney_id string, round string, winner_id long, loser_id long, score string")
     got = {r.match_id: r.game_share for r in evaluation_plans.game_shares(rows, raw).collect()}
     assert got == {"m1": 1.0, "m2": pytest.approx(16 / 30), "m3": None, "m4": None}
+
+
+def test_walk_forward_folds_cover_the_data(spark):
+    days = [dt.date(2022, 1, 5) + dt.timedelta(7 * i) for i in range(118)]  # until April 2024
+    plan = evaluation_plans.quarter_folds(spark.createDataFrame([(d,) for d in days] + [(None,)], "match_date date"))
+    got = {r.fold: (r.first, r.last) for r in plan.collect()}
+    assert sorted(got) == ["2023Q1", "2023Q2", "2023Q3", "2023Q4", "2024Q1", "2024Q2"]
+    assert got["2023Q2"] == (dt.date(2022, 4, 1), dt.date(2023, 3, 30)) and got["2023Q4"] == (dt.date(2022, 10, 1), dt.date(2023, 9, 29))
