@@ -365,8 +365,9 @@ def repeated_deliveries(records: DataFrame, first_batch: int = 1) -> DataFrame:
     """(rec_id_first, rec_id_repeat): each row of batch_no >= first_batch that reports a match which a row with a smaller
     rec_id reported, with the smallest rec_id of that match.
 
-    rec_id is unique; rows with a null rec_id are left out, a null batch_no means the history. A null tourney, round,
-    player or count is unknown: a row matches by what it has, and one without any player never does. Rows equal in
+    rec_id is unique; rows with a null rec_id are left out, a null batch_no means the history. A null round,
+    player or count is unknown: a row matches by what it has, and one without any player never does. Rows without a
+    match_date are left out, and a null tourney_id equals only a null one of the same season: such repeats are not found. Rows equal in
     everything that is compared are reduced to their first before the graphs are built, so a group of copies, however
     large, is one node. An empty table gives an empty table.
     """
