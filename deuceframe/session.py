@@ -85,10 +85,28 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Delete a table, or everything when no name is given."""
-        path = self.path(name) if name else self.root
-        if path.startswith("file:"):
-            shutil.rmtree(Path(path.removeprefix("file://").removeprefix("file:")), ignore_errors=True)
-            return
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        remove(self.spark, self.path(name) if name else self.root)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but these: what a result is read from stays, what led to it goes."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        folder = hadoop.Path(self.root)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in files.listStatus(folder):
+            if status.getPath().getName() not in names:
+                files.delete(status.getPath(), True)
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _file(spark, path)
+    return files.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = _file(spark, path)
+    files.delete(target, True)
