@@ -1,39 +1,51 @@
 """Problem 2: new batches checked against everything accepted before, by small-world graph shards.
 
-A record becomes a vector in which reports of one match lie close together, whatever form they came in. The accepted
-history is divided into segments by tourney (large tourneys also by date), and every segment has a graph shard of the
-history and one more for each later batch; shards of batches are merged on a schedule. A row of a batch asks the shards
-of its segment, beams give it its neighbours, and those are compared with it exactly, field by field.
+A record becomes a vector in which reports of one match lie close together, whatever form they came in. The history is
+divided into segments (by tourney, large tourneys also by the pair of players), and every segment has a graph shard of
+the history and one more for each later batch. The shards are stored: a new batch reads the segments it has rows in,
+asks their shards, and adds its own shard; batch shards are merged on a schedule. What lies within the radius of a row is
+compared with it exactly, field by field.
+
+Rows that lack a player lie a player's length from their match. They are asked for, and ask, in graphs of the same kind
+that hold rows under a single player; rows without a tourney in graphs that hold rows by their pair alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deuceframe.llm.smallworld import Graph
-from deuceframe.session import Scratch
+from deuceframe.llm.smallworld import ACCEPTED, LINKS, Graph
+from deuceframe.session import Scratch, remove
+from deuceframe.session import exists as _exists
 from deuceframe.sources.tables import table
 
-#: Rows of a segment, about; tourneys with more rows are divided by date.
-SEGMENT_ROWS = 4096
-#: Shards of batches that are kept before they are merged into one.
+#: Rows of a segment, about; larger tourneys are divided by the pair of players, larger pairs by date.
+SEGMENT_ROWS = 2048
+#: Segments whose rows are stored together.
+SEGMENTS_OF_BIN = 4
+#: Shards of batches, and stored runs, that are kept before they are merged into one.
 COMPACT_AFTER = 4
-#: How far apart the vectors of two reports with the same players can lie, by their days.
-RADIUS = 0.45
 #: Candidate pairs that are compared at once.
 PAIRS = 1 << 20
 #: Days by which two reports of a match may differ, in rounds that a player plays once and in repeated ones.
 DAYS_ONCE, DAYS_REPEATED = 21, 3
-#: Days after which the days' place in the vector repeats: neighbouring weeks lie apart, and no day far away.
-DAY_CYCLE = 56
+#: Days after which the days' place in the vector repeats (neighbouring weeks lie apart, and no day far away), and its length.
+DAY_CYCLE, DAY_LENGTH = 56, 0.9
+#: How far apart the vectors of two reports can lie: by their days in repeated rounds, and not at all in others.
+RADIUS_REPEATED, RADIUS_ONCE = 0.41, 0.05
+#: What stands for an unknown day in the arrays.
+NO_DAY = -(2**31)
 #: Shares of equal counts that confirm or refute a match where the rest leaves it open.
 CONFIRM, REFUTE = 0.6, 0.34
+#: Links of a stored node.
+WIDTH = LINKS + ACCEPTED
 #: Wordings of the rounds (fixed values of this data).
 ROUNDS = {
     "F": ("f", "final", "the final"),
@@ -45,6 +57,7 @@ ROUNDS = {
     "RR": ("rr", "round robin", "group"),
 }
 ROUND_NUMBER = {name: i + 1 for i, name in enumerate(ROUNDS)}
+REPEATED = ROUND_NUMBER["RR"]
 COUNTS = ("lo_points", "lo_first", "hi_points", "hi_first")
 
 
@@ -70,32 +83,34 @@ def round_number(word: Column) -> Column:
     return out
 
 
-def player_aliases(records: DataFrame, first_batch: int) -> DataFrame:
-    """(bad, good): ids of later batches that the history does not know, and the known id they were made from.
+def _players(records: DataFrame) -> DataFrame:
+    return records.select(F.explode(F.array("player_a", "player_b")).alias("id")).where("id is not null").distinct()
+
+
+def player_aliases(records: DataFrame, known: DataFrame) -> DataFrame:
+    """(bad, good): ids of a delivery that the history does not know, and the known id they were made from.
 
     A feed may put digits before an id, or repeat its last two; an id is only replaced if what remains is known.
     """
-    sides = lambda df: df.select(F.explode(F.array("player_a", "player_b")).alias("id")).where("id is not null").distinct()
-    known = sides(records.where(F.col("batch_no") < first_batch))
     text = F.col("id").cast("string")
     cuts = [F.when(F.length(text) > n, F.substring(text, n + 1, 30)) for n in (1, 2)]
     doubled = F.when(
         (F.length(text) > 4) & (F.substring(text, -2, 2) == F.substring(text, -4, 2)), F.expr("substring(cast(id as string), 1, length(cast(id as string)) - 2)")
     )
-    unknown = sides(records.where(F.col("batch_no") >= first_batch)).join(known, "id", "left_anti")
+    unknown = _players(records).join(known, "id", "left_anti")
     tries = unknown.select(F.col("id").alias("bad"), F.explode(F.array_compact(F.array(*cuts, doubled))).alias("t"))
     tries = tries.select("bad", F.expr("try_cast(t as bigint)").alias("id")).where("id is not null")
     return tries.join(known, "id").groupBy("bad").agg(F.max("id").alias("good"))
 
 
-def canonical(records: DataFrame, first_batch: int = 1) -> DataFrame:
-    """The rows in one form: tourney and round as numbers, players in order (lo, hi; an unknown one is hi), the counts of
-    each player with the player."""
-    alias = player_aliases(records, first_batch)
+def canonical(records: DataFrame, alias: DataFrame) -> DataFrame:
+    """The rows in one form: tourney and round as numbers (an unread round is 0), players in order (lo, hi; an unknown one
+    is hi), the counts of each player with the player."""
+    code = tourney_code(F.col("tourney_id"), F.col("source_season"))
     low = records.select(
         "rec_id",
         F.coalesce("batch_no", F.lit(0)).alias("batch_no"),
-        F.xxhash64(F.col("source_season"), tourney_code(F.col("tourney_id"), F.col("source_season"))).alias("tourney"),
+        F.when(code != "", F.xxhash64(F.col("source_season"), code)).alias("tourney"),
         F.coalesce(round_number(F.col("round")), F.lit(0)).alias("round"),
         F.datediff("match_date", F.lit("1970-01-01").cast("date")).alias("day"),
         "player_a",
@@ -135,17 +150,21 @@ def _directions(ids: np.ndarray, dims: int, salt: int) -> np.ndarray:
 
 
 def vectors(rows: dict[str, np.ndarray]) -> np.ndarray:
-    """Tourney, both players in any order, round and day as one vector; what is unknown is left at zero."""
-    players = np.zeros((len(rows["lo"]), 6), np.float32)
-    for side in ("lo", "hi"):
+    """Place (the tourney, or what stands for it), players in any order, round and, in repeated rounds, the day as one vector."""
+    players = np.zeros((len(rows["one"]), 6), np.float32)
+    for side in ("one", "two"):
         known = rows[side] >= 0
         players[known] += _directions(rows[side][known], 6, 1)
-    tourney = _directions(rows["tourney"].view(np.uint64), 4, 2)
+    place = _directions(rows["place"].view(np.uint64), 4, 2)
     stage = _directions(rows["round"].astype(np.int64), 2, 3) * np.float32(0.5)
-    stage[rows["round"] == 0] = 0
     turn = rows["day"] * (2 * np.pi / DAY_CYCLE)
-    day = np.stack((np.cos(turn), np.sin(turn)), 1).astype(np.float32) * np.float32(0.9)
-    return np.concatenate((players, tourney, stage, day), 1)
+    day = np.stack((np.cos(turn), np.sin(turn)), 1).astype(np.float32) * np.float32(DAY_LENGTH)
+    day[rows["round"] != REPEATED] = 0  # reports of a match that is played once may be dated weeks apart
+    return np.concatenate((players, place, stage, day), 1)
+
+
+def _radius(rows: dict[str, np.ndarray]) -> np.ndarray:
+    return np.where(rows["round"] == REPEATED, RADIUS_REPEATED, RADIUS_ONCE)
 
 
 def same_match(q: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
@@ -154,9 +173,11 @@ def same_match(q: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray
     Tourney and round must be equal (an unread round fits any). The known players of both must be at most two, and one
     must be common; where each names only another of the two, the counts must confirm it. In rounds that a player plays
     once, the days may differ by weeks; in repeated ones by DAYS_REPEATED, a day more if the counts confirm, and they
-    must not refute it at the edge.
+    must not refute it at the edge. An unknown tourney fits any if both players and, as in repeated rounds, the day agree.
+    An unknown day fits any in rounds played once; in repeated ones the counts must confirm it.
     """
-    fits = (q["tourney"] == x["tourney"]) & ((q["round"] == x["round"]) | (q["round"] == 0) | (x["round"] == 0))
+    placed = (q["tourney"] != 0) & (x["tourney"] != 0)
+    fits = ((q["tourney"] == x["tourney"]) | ~placed) & ((q["round"] == x["round"]) | (q["round"] == 0) | (x["round"] == 0))
     straight = [q["lo"] == x["lo"], q["hi"] == x["hi"]]
     cross = [q["lo"] == x["hi"], q["hi"] == x["lo"]]
     known = lambda r, s: r[s] >= 0
@@ -175,12 +196,15 @@ def same_match(q: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray
     confirmed, refuted = share >= CONFIRM, share <= REFUTE
     union = qn + xn - common
     players = (union <= 2) & ((common >= 1) | (confirmed & (qn > 0) & (xn > 0)))
+    dated = (q["day"] != NO_DAY) & (x["day"] != NO_DAY)
+    whole = (qn == 2) & (xn == 2)
     apart = np.abs(q["day"] - x["day"])
-    repeated = (q["round"] == ROUND_NUMBER["RR"]) | (x["round"] == ROUND_NUMBER["RR"])
+    repeated = (q["round"] == REPEATED) | (x["round"] == REPEATED)
     near = apart <= DAYS_REPEATED
     near &= ~((apart == DAYS_REPEATED) & refuted)
     near |= (apart == DAYS_REPEATED + 1) & confirmed
-    return fits & players & np.where(repeated, near, apart <= DAYS_ONCE)
+    days = np.where(dated, np.where(repeated | ~placed, near, apart <= DAYS_ONCE), whole & placed & (confirmed | ~repeated))
+    return fits & players & days & (placed | whole)
 
 
 FIELDS = ("tourney", "round", "day", "lo", "hi", *COUNTS)
@@ -216,70 +240,65 @@ def _equal_keys(mine: tuple[np.ndarray, np.ndarray], theirs: tuple[np.ndarray, n
         at = to
 
 
-def _by_player(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys) of the tourney with each known player."""
-    where = [at[rows[side][at] >= 0] for side in ("lo", "hi")]
-    keys = [_mixed(rows["tourney"][w], rows[side][w]) for w, side in zip(where, ("lo", "hi"), strict=True)]
-    return np.concatenate(where), np.concatenate(keys)
-
-
-def _by_counts(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys) of the tourney with every two known counts: what confirms a match has two equal ones at least."""
-    where, keys = [], []
-    for i, (c, d) in enumerate(combinations(COUNTS, 2)):
-        w = at[(rows[c][at] >= 0) & (rows[d][at] >= 0)]
-        where.append(w), keys.append(_mixed(rows["tourney"][w], np.full(len(w), i), rows[c][w], rows[d][w]))
-    return np.concatenate(where), np.concatenate(keys)
+def _clear(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows that have a place in the graphs: the round is read, and in repeated rounds the day is known."""
+    return (rows["round"] > 0) & ((rows["round"] != REPEATED) | (rows["day"] != NO_DAY))
 
 
-def _by_pair(rows: dict[str, np.ndarray], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, keys) of the tourney with both players."""
-    return at, _mixed(*[rows[c][at] for c in ("tourney", "lo", "hi")])
+class Shard:
+    """Rows of a segment, their first reports, and a graph. Rows with equal vectors are one node.
 
-
-def distant_pairs(rows: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of a row whose match may be dated weeks apart, beyond the graphs' RADIUS, and a held row of both players."""
-    mine = np.flatnonzero((rows["hi"] >= 0) & (rows["round"] != ROUND_NUMBER["RR"]))
-    if len(mine):
-        yield from _equal_keys(_by_pair(rows, mine), _by_pair(held, np.flatnonzero(held["hi"] >= 0)))
-
-
-def lacking_pairs(rows: dict[str, np.ndarray], held: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair (row, held row) that can be one match and of which one lacks a player.
-
-    Of such a pair, either a player is common, or each names only another of the two and counts confirm it.
+    The rows are in the order of their nodes; rows that have no place in the graph come last, with node -1.
     """
-    mine, theirs = np.flatnonzero(rows["hi"] < 0), np.flatnonzero(held["hi"] < 0)
-    if len(mine):
-        yield from _equal_keys(_by_player(rows, mine), _by_player(held, np.arange(len(held["hi"]))))
-    if len(theirs):
-        yield from _equal_keys(_by_player(rows, np.flatnonzero(rows["hi"] >= 0)), _by_player(held, theirs))
-    if len(mine) and len(theirs):
-        yield from _equal_keys(_by_counts(rows, mine), _by_counts(held, theirs))
 
+    def __init__(self, rows: dict[str, np.ndarray], first: np.ndarray, graph: Graph | None = None, node: np.ndarray | None = None):
+        if graph is None:
+            clear = np.flatnonzero(_clear(rows))
+            day = np.where(rows["round"] == REPEATED, rows["day"], 0)
+            keys = _mixed(*[(day if c == "day" else rows[c])[clear] for c in ("place", "one", "two", "round", "day")])
+            _, at, of = np.unique(keys, return_index=True, return_inverse=True)
+            some = _take(rows, clear[at])
+            graph = Graph(vectors(some))
+            graph.tune(vectors(some | {"day": some["day"] + np.arange(len(at)) % (2 * DAYS_REPEATED + 1) - DAYS_REPEATED})[graph.order], _radius(some)[graph.order])
+            place = np.empty(len(at), np.int64)
+            place[graph.order] = np.arange(len(at))
+            node = np.full(len(first), -1)
+            node[clear] = place[of.ravel()]
+            order = np.lexsort((rows["rec_id"], node, node < 0))
+            rows, first, node = _take(rows, order), first[order], node[order]
+        self.rows, self.first, self.graph, self.node = rows, first, graph, node
+        self.starts = np.searchsorted(node[node >= 0], np.arange(len(graph.vectors) + 1))
+
+    def pairs(self, q: dict[str, np.ndarray], v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of q, row held) of all pairs that may be one match, some PAIRS at a time."""
+        clear = np.flatnonzero(_clear(q))
+        who, node = self.graph.within(v[clear], _radius(q)[clear])
+        who, n = clear[who], self.starts[node + 1] - self.starts[node]
+        ends, at = np.cumsum(n), 0
+        while at < len(who):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            m = n[at:to]
+            within = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            yield np.repeat(who[at:to], m), np.repeat(self.starts[node[at:to]], m) + within
+            at = to
+        # what is in no graph meets, and is met by, everything of its place and players
+        held, vague, mine = np.arange(len(self.node)), np.flatnonzero(self.node < 0), np.flatnonzero(~_clear(q))
+        by = lambda rows, at: (at, _mixed(*[rows[c][at] for c in ("place", "one", "two")]))
+        if len(vague) and len(clear):
+            yield from _equal_keys(by(q, clear), by(self.rows, vague))
+        if len(mine) and len(held):
+            yield from _equal_keys(by(q, mine), by(self.rows, held))
 
-class SegmentIndex:
-    """The shards of one segment. A shard has the rows, their first reports, and a graph of their vectors.
 
-    A row that lacks a player lies a player's length away from its match, with any number of others nearer. Such rows,
-    asked for or asking, meet all rows of their tourney with the same player instead (or with the same counts, where both
-    lack one). So do rows in rounds that are played once, whose days may lie weeks apart, by both players.
-    """
+class SegmentIndex:
+    """The shards of one segment."""
 
-    def __init__(self, kept: int = 1):
+    def __init__(self, kept: int = 0):
         """kept: so many shards at the beginning stay apart when the others are merged."""
-        self.shards: list[tuple] = []
+        self.shards: list[Shard] = []
         self.kept = kept
 
-    def add(self, rows: dict[str, np.ndarray], first: np.ndarray, queries: np.ndarray | None = None) -> None:
-        """A new shard; a base shard's beam is tuned on the vectors that will be asked for."""
-        v = vectors(rows)
-        graph = Graph(v)
-        if queries is not None and len(queries):
-            graph.tune(queries, RADIUS)
-        self.append((rows, first, v, graph))
-
-    def append(self, shard: tuple) -> None:
+    def append(self, shard: Shard) -> None:
         self.shards.append(shard)
         if len(self.shards) > COMPACT_AFTER + self.kept:
             self.compact()
@@ -287,142 +306,388 @@ class SegmentIndex:
     def compact(self) -> None:
         """Merges the shards that are not kept apart into one."""
         rest = self.shards[self.kept :]
-        rows = {k: np.concatenate([s[0][k] for s in rest]) for k in rest[0][0]}
-        first, v = np.concatenate([s[1] for s in rest]), np.concatenate([s[2] for s in rest])
-        self.shards = [*self.shards[: self.kept], (rows, first, v, Graph(v))]
+        rows = {k: np.concatenate([s.rows[k] for s in rest]) for k in rest[0].rows}
+        self.shards = [*self.shards[: self.kept], Shard(rows, np.concatenate([s.first for s in rest]))]
 
-    def first_reports(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+    def first_reports(self, rows: dict[str, np.ndarray], shards: list[Shard] | None = None) -> np.ndarray:
         """The smallest first report of the matches that equal each row, of rows with a smaller rec_id; -1: none."""
         v = vectors(rows)
         out = np.full(len(v), np.iinfo(np.int64).max)
-        for held, first, held_v, graph in self.shards:
-            if not len(held_v):
-                continue
-            near = graph.nearest(v)
-            x = near.ravel()
-            found = (np.repeat(np.arange(len(v)), near.shape[1])[x >= 0], x[x >= 0])
-            for q, x in chain([found], lacking_pairs(rows, held), distant_pairs(rows, held)):
-                likely = (held["rec_id"][x] < rows["rec_id"][q]) & (held["tourney"][x] == rows["tourney"][q])
+        for shard in self.shards if shards is None else shards:
+            for q, x in shard.pairs(rows, v):
+                likely = shard.rows["rec_id"][x] < rows["rec_id"][q]
                 q, x = q[likely], x[likely]
-                equal = same_match(_take(rows, q), _take(held, x))
-                np.minimum.at(out, q[equal], first[x[equal]])
+                equal = same_match(_take(rows, q), _take(shard.rows, x))
+                np.minimum.at(out, q[equal], shard.first[x[equal]])
         return np.where(out == np.iinfo(np.int64).max, -1, out)
 
 
-def _arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {
-        c: pdf[c].to_numpy(dtype="int64", na_value=-1) if c in ("tourney", "rec_id") else pdf[c].fillna(-1).to_numpy(dtype="int64")
-        for c in ("rec_id", "batch_no", "stays", *FIELDS)
-    }
-
-
 def _smaller(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smaller of two reports, -1 meaning none."""
     return np.where(a < 0, b, np.where(b < 0, a, np.minimum(a, b)))
 
 
-def _replay(first_batch: int):
-    """All batches of a segment in their order against the shards so far; a batch's own rows become the next shard."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rec_id", kind="stable")
-        rows = _arrays(pdf)
-        history, index = SegmentIndex(), SegmentIndex(0)
-        base = (rows["batch_no"] < first_batch) & (rows["stays"] == 1)
-        later = rows["batch_no"] >= first_batch
-        asked = _take(rows, later)
-        history.add(_take(rows, base), rows["rec_id"][base], vectors(asked))
-        in_history = history.first_reports(asked)  # no batch changes the history's shard: one search for all of them
-        found_first, found_repeat = [], []
-        for batch in np.unique(rows["batch_no"][later]):
-            mine = _take(rows, rows["batch_no"] == batch)
-            first = _smaller(in_history[asked["batch_no"] == batch], index.first_reports(mine))
-            stays = mine["stays"] == 1
-            # the batch's own rows, by the same search in the batch's own shard
-            own = SegmentIndex()
-            own.add(_take(mine, stays), mine["rec_id"][stays])
-            within = own.first_reports(mine)
-            shard = own.shards[0]
-            # a row's first report is that of the earlier row of its batch, if that one has an earlier report
-            position = {r: i for i, r in enumerate(mine["rec_id"])}
-            for i in np.flatnonzero(within >= 0):
+def replay(index: SegmentIndex, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first, repeat): all batches of a segment in their order against the shards so far; each becomes the next shard.
+
+    Rows that do not stay (they ask here, but belong to another segment) are in no shard.
+    """
+    kept = list(index.shards)
+    in_kept = index.first_reports(rows, kept)  # no batch changes these shards: one search for all batches
+    out = [(np.empty(0, np.int64),) * 2]
+    for batch in np.unique(rows["batch_no"]):
+        at = np.flatnonzero(rows["batch_no"] == batch)
+        mine, stays = _take(rows, at), rows["stays"][at] == 1
+        first = _smaller(in_kept[at], index.first_reports(mine, index.shards[len(kept) :]))
+        own = Shard(_take(mine, stays), mine["rec_id"][stays])
+        within = index.first_reports(mine, [own])
+        # a row's first report is that of the earlier row of its batch, if that one has an earlier report
+        position = {r: i for i, r in enumerate(mine["rec_id"].tolist())}
+        for i in np.argsort(mine["rec_id"], kind="stable"):
+            if within[i] >= 0:
                 other = first[position[within[i]]]
                 best = within[i] if other < 0 else other
                 first[i] = best if first[i] < 0 else min(first[i], best)
-            hit = first >= 0
-            found_first.append(first[hit]), found_repeat.append(mine["rec_id"][hit])
-            known = np.where(hit, first, mine["rec_id"])
-            index.append((shard[0], known[stays], *shard[2:]))
-        empty = np.empty(0, np.int64)
-        return pd.DataFrame(
-            {"rec_id_first": np.concatenate([empty, *found_first]), "rec_id_repeat": np.concatenate([empty, *found_repeat])}
+        hit = first >= 0
+        out.append((first[hit], mine["rec_id"][hit]))
+        known = dict(zip(mine["rec_id"].tolist(), np.where(hit, first, mine["rec_id"]).tolist(), strict=True))
+        own.first = np.array([known[r] for r in own.rows["rec_id"].tolist()], np.int64)
+        index.append(own)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+HELD = ("rec_id", "first", *FIELDS)
+NODE = f"segment bigint, shard int, node int, beam int, links binary, {', '.join(f'{c} bigint' for c in HELD)}, bin int"
+
+
+def _arrays(t: pa.Table, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The columns as numbers, and what the graphs know the rows by: their pair and tourney, unless the table says else."""
+    missing = {"tourney": 0, "day": NO_DAY}
+    out = {c: pc.fill_null(pc.cast(t.column(c), pa.int64()), missing.get(c, -1)).to_numpy() for c in names}
+    return {"one": out["lo"], "two": out["hi"], "place": out["tourney"]} | out
+
+
+def _loaded(t: pa.Table) -> list[Shard]:
+    """The stored shards of a segment."""
+    rows, node = _arrays(t, HELD), t.column("node").to_numpy()
+    run, shard, beam = (t.column(c).to_numpy() for c in ("run", "shard", "beam"))
+    links, out = t.column("links").to_pylist(), []
+    for key in np.unique(run * 1000 + shard):
+        at = np.flatnonzero(run * 1000 + shard == key)
+        at = at[np.lexsort((rows["rec_id"][at], node[at], node[at] < 0))]
+        mine = _take(rows, at)
+        heads = [i for i in at if links[i] is not None]
+        stored = b"".join(links[i] for i in heads)
+        matrix = np.frombuffer(stored, np.int16 if len(stored) == 2 * WIDTH * len(heads) else np.int32).reshape(-1, WIDTH)
+        graph = Graph.stored(vectors(_take(rows, np.array(heads, np.int64))), matrix, int(beam[at].max(initial=0)))
+        out.append(Shard(mine, mine["first"], graph, node[at].astype(np.int64)))
+    return out
+
+
+def _node_table(segment: int, bin_: int, shards: list[Shard], links: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """The shards' rows as they are stored, then the links (shard -1: first and rec_id)."""
+    tables = []
+    for k, s in enumerate(shards):
+        matrix = s.graph.links.astype(np.int16 if len(s.graph.links) < 2**15 else np.int32)
+        held = np.full(len(s.node), None, object)
+        heads = np.flatnonzero((s.node >= 0) & np.concatenate(([True], s.node[1:] != s.node[:-1]))[: len(s.node)])
+        raw, size = matrix.tobytes(), matrix.itemsize * WIDTH
+        held[heads] = [raw[i * size : (i + 1) * size] for i in range(len(heads))]
+        n = len(s.node)
+        tables.append([np.full(n, segment), np.full(n, k), s.node, np.full(n, s.graph.beam), held, *[s.first if c == "first" else s.rows[c] for c in HELD], np.full(n, bin_)])
+    n = len(links[0])
+    fields = {"rec_id": links[1], "first": links[0]}
+    tables.append([np.full(n, segment), np.full(n, -1), np.full(n, -1), np.zeros(n, int), np.full(n, None, object), *[fields.get(c, np.zeros(n, np.int64)) for c in HELD], np.full(n, bin_)])
+    columns = [np.concatenate([t[i] for t in tables]) for i in range(len(tables[0]))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * len(HELD), pa.int32()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODE.split(", ")])
+
+
+def _process(held: list[Shard], t: pa.Table, segment: int, bin_: int) -> pa.Table:
+    rows = _take(r := _arrays(t, ("rec_id", "first", "batch_no", "stays", "held", *FIELDS)), np.argsort(t.column("rec_id").to_numpy(), kind="stable"))
+    known = rows["held"] == 1
+    shards = list(held)
+    if known.any():  # rows of the history that come in this run: their own shard, built here
+        base = _take(rows, known)
+        shards.append(Shard(base, base["first"]))
+    index = SegmentIndex(len(shards))
+    index.shards = shards
+    links = replay(index, _take(rows, ~known))
+    return _node_table(segment, bin_, index.shards[len(held) :], links)
+
+
+def _first_run(key: tuple, t: pa.Table) -> pa.Table:
+    return _process([], t, key[1].as_py(), key[0].as_py())
+
+
+def _later_run(key: tuple, t: pa.Table, stored: pa.Table) -> pa.Table:
+    if not len(t):
+        return _node_table(0, 0, [], (np.empty(0, np.int64),) * 2)
+    return _process(_loaded(stored) if len(stored) else [], t, key[1].as_py(), key[0].as_py())
+
+
+def _merge_run(key: tuple, t: pa.Table) -> pa.Table:
+    rows = _arrays(t, HELD)
+    return _node_table(key[1].as_py(), key[0].as_py(), [Shard(rows, rows["first"])], (np.empty(0, np.int64),) * 2)
+
+
+class MatchIndex:
+    """The stored index: a run for the history and one for each delivery, in a folder that all executors share.
+
+    A run holds, in bins of segments, the rows of its shards with the graphs' links, and its repeats. The list of the
+    live runs is appended last, so a delivery that is lost on the way leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self.live: list[int] = []
+        self.segments = self.bins = self.version = 0
+        if _exists(spark, f"{root}/live"):
+            last = spark.read.parquet(f"{root}/live").orderBy(F.desc("version")).first()
+            self.live, self.segments, self.bins, self.version = list(last.runs), last.segments, last.bins, last.version
+
+    def _publish(self, runs: list[int]) -> None:
+        self.live, self.version = runs, self.version + 1
+        state = self.spark.createDataFrame([(self.version, runs, self.segments, self.bins)], "version int, runs array<int>, segments int, bins int")
+        state.coalesce(1).write.mode("append").parquet(f"{self.root}/live")
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def _runs(self, kind: str, runs: list[int]) -> DataFrame:
+        out = None
+        for run in runs:
+            one = self._table(f"{kind}-{run}").withColumn("run", F.lit(run))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _segment(self, df: DataFrame) -> DataFrame:
+        """With the segment of each row: small tourneys share one, larger ones (in `splits`; the planner checks the size of
+        that table before it broadcasts it) are divided by the pair of players, which all reports of a match share."""
+        parted = df.join(self._table("splits"), "tourney", "left")
+        number = F.pmod(F.xxhash64("tourney"), F.lit(self.segments))
+        own = F.xxhash64(F.lit("large"), "tourney", F.pmod(F.xxhash64("lo", "hi"), F.col("parts")))
+        return parted.withColumn("segment", F.when(F.col("parts").isNull(), number).otherwise(own)).drop("parts")
+
+    def _binned(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bin", F.pmod(F.xxhash64("segment"), F.lit(self.bins)).cast("int"))
+
+    def _sliced(self, df: DataFrame, key: list[str], keys: DataFrame | None) -> DataFrame:
+        """With the date slice of keys that have more rows than a segment; an asking row comes into every slice that has
+        a day on which its match may be reported (rows without a day into all)."""
+        if keys is None:
+            return df.withColumn("slice", F.lit(0).cast("bigint")).withColumn("stays", F.lit(1))
+        at = df.join(keys, key, "left")
+        reach = F.when(F.col("round") == REPEATED, F.lit(DAYS_REPEATED + 1)).otherwise(F.lit(DAYS_ONCE))
+        floor = lambda day: F.floor(day / F.col("width"))
+        asks = F.when(F.col("day").isNull(), F.sequence(floor(F.col("from_day")), floor(F.col("to_day")))).otherwise(
+            F.sequence(floor(F.col("day") - reach), floor(F.col("day") + reach))
+        )
+        # rows of the history only wait
+        asks = F.when(F.col("held") == 1, F.array(F.coalesce(floor(F.col("day")), floor(F.col("from_day"))))).otherwise(asks)
+        asks = F.when(F.col("width").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(asks)
+        own = F.when(F.col("width").isNull(), F.lit(0).cast("bigint")).otherwise(F.coalesce(floor(F.col("day")), floor(F.col("from_day"))))
+        out = at.withColumn("own", own).withColumn("slice", F.explode(asks))
+        return out.withColumn("stays", (F.col("slice") == F.col("own")).cast("int")).drop("own", "width", "from_day", "to_day")
+
+    @staticmethod
+    def _large(df: DataFrame, key: list[str]) -> DataFrame | None:
+        """Keys with more rows than a segment and the width of their slices, or None: rows without a day lie in the first."""
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("day").alias("from_day"), F.max("day").alias("to_day"))
+        width = F.greatest(F.lit(2 * (DAYS_REPEATED + 1)), F.ceil((F.col("to_day") - F.col("from_day") + 1) * SEGMENT_ROWS / F.col("size"))).cast("int")
+        large = sizes.where((F.col("size") > SEGMENT_ROWS) & F.col("from_day").isNotNull()).select(*key, width.alias("width"), "from_day", "to_day")
+        return None if large.isEmpty() else large
+
+    def add(self, records: DataFrame, first_batch: int = 1) -> DataFrame:
+        """Takes a delivery in, and returns its repeats: (rec_id_first, rec_id_repeat).
+
+        The first delivery holds the accepted history (batch_no below first_batch, or null) and may hold batches as well;
+        later ones hold batches. Of what is stored, a delivery reads only the bins of the segments it has rows in.
+        """
+        number, first_time = max(self.live, default=-1) + 1, not self.live
+        if len(self.live) > COMPACT_AFTER + 1:
+            self.compact()
+            number = max(self.live) + 1
+        work = Scratch(self.spark, "delivery")
+        given = records.where("rec_id is not null").withColumn("batch_no", F.coalesce("batch_no", F.lit(0)))
+        if first_time:
+            self._write(_players(given.where(F.col("batch_no") < first_batch)), "players")
+        later = given.where(F.col("batch_no") >= first_batch) if first_time else given
+        rows = canonical(given, player_aliases(later, self._table("players"))).where("lo is not null")
+        rows = work.write(rows, "rows")
+        unique = rows.groupBy(*FIELDS).agg(F.min("rec_id").alias("rec_id"), F.min("batch_no").alias("batch_no"), F.count(F.lit(1)).alias("n"))
+        history = (F.col("batch_no") < first_batch) if first_time else F.lit(False)
+        unique = work.write(unique.withColumn("held", history.cast("int")).withColumn("first", F.col("rec_id")), "unique")
+        whole = F.col("hi").isNotNull() & F.col("tourney").isNotNull()
+        self._write(unique.where(~whole & F.col("day").isNotNull()), f"odd-{number}")
+        if first_time:
+            total = unique.count()
+            self.segments = max(1, -(-total // SEGMENT_ROWS))
+            self.bins = max(1, min(8192, -(-self.segments // SEGMENTS_OF_BIN)))
+            sizes = unique.where("tourney is not null").groupBy("tourney").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SEGMENT_ROWS)
+            self._write(sizes.select("tourney", F.ceil(F.col("size") / SEGMENT_ROWS).cast("int").alias("parts")), "splits")
+            pairs = self._large(unique, ["tourney", "lo", "hi"])
+            if pairs is not None:
+                self._write(pairs, "hot")
+        hot = self._table("hot") if _exists(self.spark, f"{self.root}/hot") else None
+        placed = self._sliced(self._segment(unique.where(whole)), ["tourney", "lo", "hi"], hot)
+        placed = placed.withColumn("segment", F.when(F.col("slice") == 0, F.col("segment")).otherwise(F.xxhash64("segment", "slice")))
+        placed = self._binned(placed).select("bin", "segment", "rec_id", "first", "batch_no", "stays", "held", *FIELDS)
+        tasks = max(1, min(self.bins, 8 * self.spark.sparkContext.defaultParallelism))
+        groups = placed.repartition(tasks, "bin").groupBy("bin", "segment")
+        if first_time:
+            done = groups.applyInArrow(_first_run, NODE)
+        else:
+            asked = [r.bin for r in placed.select("bin").distinct().collect()]  # at most as many as bins
+            stored = self._runs("nodes", self.live).where(F.col("bin").isin(asked))
+            done = groups.cogroup(stored.repartition(tasks, "bin").groupBy("bin", "segment")).applyInArrow(_later_run, NODE)
+        done.write.mode("overwrite").partitionBy("bin").parquet(f"{self.root}/nodes-{number}")
+        nodes = self._table(f"nodes-{number}")
+        links = nodes.where("shard = -1").select(F.col("first").alias("rec_id_first"), F.col("rec_id").alias("rec_id_repeat"))
+        odd = self._odd(work, unique, first_time)
+        if odd is not None:
+            links = links.unionByName(odd)
+        # copies of a row are repeats of its first report, and so of whatever that one repeats
+        several = unique.where("n > 1").select(*FIELDS, F.col("rec_id").alias("kept"))
+        same = F.lit(True)
+        for c in FIELDS:
+            same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+        asking = rows.where(F.col("batch_no") >= first_batch) if first_time else rows
+        copies = (
+            asking.alias("r").join(several.alias("s"), same)
+            .where("r.rec_id <> s.kept").select(F.col("s.kept").alias("rec_id_first"), F.col("r.rec_id").alias("rec_id_repeat"))
         )
+        links = links.unionByName(copies).groupBy("rec_id_repeat").agg(F.min("rec_id_first").alias("rec_id_first"))
+        links = _resolved(work, links, self._runs("repeats", self.live) if self.live else None)
+        out = self._write(links.select("rec_id_first", "rec_id_repeat"), f"repeats-{number}")
+        work.drop()
+        self._publish([*self.live, number])
+        return out
+
+    def _odd(self, work: Scratch, unique: DataFrame, first_time: bool) -> DataFrame | None:
+        """Repeats among pairs of which one row lacks a player or the tourney, by graphs built for those that are asked.
+
+        Rows lacking a player are held and asked under each player of their tourney; rows without a tourney by their pair;
+        two rows that each name only another player by every two equal counts. Both need their day.
+        """
+        fields = [*FIELDS, "rec_id", "first", "batch_no", "held"]
+        lacking, homeless = F.col("hi").isNull() & F.col("tourney").isNotNull(), F.col("tourney").isNull() & F.col("hi").isNotNull()
+        new = unique.select(*fields).where("day is not null")
+        odd = new.where(lacking | homeless)
+        if not first_time:
+            before = self._runs("odd", self.live).select(*fields).withColumn("held", F.lit(1))
+            odd = odd.unionByName(before)
+        odd = work.write(odd, "odd")
+        if odd.isEmpty():
+            return None
+        known = new.where(~(lacking | homeless)).unionByName(odd)
+        if not first_time:
+            known = known.unionByName(self._held_for(odd.where("held = 0"), fields, new))
+        views = []
+
+        def view(rows: DataFrame, key: list[str], only: DataFrame, one: Column, two: Column) -> None:
+            mine = rows.join(only, key, "left_semi")
+            mine = self._sliced(mine, key, self._large(mine, key))
+            place = F.xxhash64(F.lit(len(views)), *key, "slice").alias("place")
+            views.append(mine.select(place, "rec_id", "first", "batch_no", "stays", "held", *FIELDS, one.alias("one"), two.alias("two")))
+
+        no = F.lit(None).cast("bigint")
+        by_player = known.where("tourney is not null").withColumn("player", F.explode(F.array_compact(F.array("lo", "hi"))))
+        view(by_player, ["tourney", "player"], odd.where(lacking).select("tourney", F.col("lo").alias("player")).distinct(), F.col("player"), no)
+        view(known.where("hi is not null"), ["lo", "hi"], odd.where(homeless).select("lo", "hi").distinct(), F.col("lo"), F.col("hi"))
+        two = [(c, d) for j, c in enumerate(COUNTS) for d in COUNTS[j + 1 :]]
+        keys = [F.when(F.col(c).isNotNull() & F.col(d).isNotNull(), F.xxhash64(F.lit(i), c, d)) for i, (c, d) in enumerate(two)]
+        by_counts = odd.where(lacking).withColumn("equal", F.explode(F.array_compact(F.array(*keys))))
+        view(by_counts, ["tourney", "equal"], by_counts.where("held = 0").select("tourney", "equal").distinct(), no, no)
+        together = work.write(views[0].unionByName(views[1]).unionByName(views[2]), "views")
+        bins = max(1, -(-together.count() // SEGMENT_ROWS))
+        tasks = max(1, min(bins, 8 * self.spark.sparkContext.defaultParallelism))
+        together = together.withColumn("bin", F.pmod(F.col("place"), F.lit(bins)).cast("int"))
+        done = together.repartition(tasks, "bin").groupBy("bin").applyInArrow(_odd_run, "rec_id_first bigint, rec_id_repeat bigint")
+        return work.write(done, "odd_links")
+
+    def _held_for(self, asking: DataFrame, fields: list[str], new: DataFrame) -> DataFrame:
+        """The stored rows that rows lacking something may ask for: of the bins of their tourneys if those are small."""
+        nodes = self._runs("nodes", self.live).where("shard >= 0")
+        large = asking.join(self._table("splits"), "tourney", "left_semi").unionByName(asking.where("tourney is null"))
+        if large.isEmpty():
+            bins = self._binned(self._segment(asking)).select("bin").distinct().collect()  # at most as many as bins
+            nodes = nodes.where(F.col("bin").isin([r.bin for r in bins]))
+        null = {"day": NO_DAY, **dict.fromkeys(COUNTS, -1)}
+        rows = nodes.select(
+            *[F.when(F.col(c) != null[c], F.col(c)).alias(c) if c in null else F.col(c) for c in FIELDS], "rec_id", "first", F.lit(0).alias("batch_no"), F.lit(1).alias("held")
+        ).where("day is not null")
+        return rows.select(*[F.col(c).cast(new.schema[c].dataType).alias(c) for c in fields])
 
-    return run
+    def compact(self) -> None:
+        """Merges the shards of all deliveries after the history into one run."""
+        rest, number = self.live[1:], max(self.live) + 1
+        nodes = self._runs("nodes", rest).where("shard >= 0")
+        tasks = max(1, min(self.bins, 8 * self.spark.sparkContext.defaultParallelism))
+        merged = nodes.repartition(tasks, "bin").groupBy("bin", "segment").applyInArrow(_merge_run, NODE)
+        merged.write.mode("overwrite").partitionBy("bin").parquet(f"{self.root}/nodes-{number}")
+        for kind in ("odd", "repeats"):
+            self._write(self._runs(kind, rest).drop("run"), f"{kind}-{number}")
+        self._publish([self.live[0], number])
+        for run in rest:
+            for kind in ("nodes", "odd", "repeats"):
+                remove(self.spark, f"{self.root}/{kind}-{run}")
+
+
+def _odd_run(key: tuple, t: pa.Table) -> pa.Table:
+    """All places of a bin in one graph: the place is part of the vectors and keeps them apart."""
+    rows = _arrays(t, ("rec_id", "first", "batch_no", "stays", "held", *FIELDS, "one", "two", "place"))
+    odd, asking, stays = (rows["hi"] < 0) | (rows["tourney"] == 0), rows["held"] == 0, rows["stays"] == 1
+    out = [(np.empty(0, np.int64),) * 2]
+    # complete rows have met each other by their pair: they ask only for the others
+    for asks, holds in ((asking & ~odd, stays & odd), (asking & odd, stays)):
+        if asks.any() and holds.any():
+            base, q = _take(rows, holds), _take(rows, asks)
+            first = SegmentIndex().first_reports(q, [Shard(base, base["first"])])
+            out.append((first[first >= 0], q["rec_id"][first >= 0]))
+    first, repeat = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"rec_id_first": first, "rec_id_repeat": repeat})
+
+
+def _resolved(work: Scratch, links: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The links, with first reports that are repeats themselves (found in another segment, as a copy, or by an earlier
+    delivery) replaced by theirs until none is left; each step halves the longest chain."""
+    step = 0
+    while True:
+        links = work.write(links.select("rec_id_first", "rec_id_repeat"), f"links{step}")
+        onward = links if before is None else links.unionByName(before.select("rec_id_first", "rec_id_repeat"))
+        onward = onward.groupBy(F.col("rec_id_repeat").alias("rec_id_first")).agg(F.min("rec_id_first").alias("before"))
+        joined = links.join(onward, "rec_id_first", "left")
+        if joined.where("before is not null").isEmpty():
+            return links
+        links = joined.select(F.coalesce("before", "rec_id_first").alias("rec_id_first"), "rec_id_repeat")
+        step += 1
 
 
 def repeated_deliveries(records: DataFrame, first_batch: int = 1) -> DataFrame:
     """(rec_id_first, rec_id_repeat): each row of batch_no >= first_batch that reports a match which a row with a smaller
     rec_id reported, with the smallest rec_id of that match.
 
-    rec_id is unique; rows with a null rec_id are left out, a null batch_no means the history. A null round,
-    player or count is unknown: a row matches by what it has, and one without any player never does. Rows without a
-    match_date are left out, and a null tourney_id equals only a null one of the same season: such repeats are not found. Rows equal in
-    everything that is compared are reduced to their first before the graphs are built, so a group of copies, however
-    large, is one node. An empty table gives an empty table.
+    rec_id is unique; rows with a null rec_id are left out, a null batch_no means the history. A null tourney, round,
+    day, player or count is unknown: a row matches by what it has (see same_match); one without any player, or without
+    two of tourney, day and a player, matches none. Rows equal in everything that is compared are reduced to their first
+    before the graphs are built, so a group of copies, however large, is one row. An empty table gives an empty table.
+
+    The index is built for this call and dropped; MatchIndex keeps it for the deliveries to come.
     """
     spark = records.sparkSession
-    scratch = Scratch(spark, "history")
-    rows = canonical(records.where("rec_id is not null"), first_batch)
-    what = ["tourney", "round", "day", "lo", "hi", *COUNTS]
-    rows = scratch.write(rows.where("lo is not null and day is not null"), "rows")
-    unique = scratch.write(
-        rows.groupBy(*what).agg(F.min("rec_id").alias("rec_id"), F.min("batch_no").alias("batch_no"), F.count(F.lit(1)).alias("n")), "unique"
-    )
-    total = unique.count()
-    if not total:
+    if records.isEmpty():
         return spark.createDataFrame([], "rec_id_first bigint, rec_id_repeat bigint")
-    buckets = max(1, -(-total // SEGMENT_ROWS))
-    sizes = unique.groupBy("tourney").agg(F.count(F.lit(1)).alias("size"), (F.max("day") - F.min("day") + 1).alias("span"))
-    # tourneys with more rows than a segment: at most total / SEGMENT_ROWS of them
-    large = sizes.where(F.col("size") > SEGMENT_ROWS).select(
-        "tourney", F.greatest(F.lit(2 * (DAYS_REPEATED + 2)), F.ceil(F.col("span") * SEGMENT_ROWS / F.col("size"))).cast("int").alias("width")
-    )
-    placed = unique.join(F.broadcast(large), "tourney", "left")
-    # an asking row comes into every slice that has a day on which its match may be reported
-    reach = F.when(F.col("round") == ROUND_NUMBER["RR"], F.lit(DAYS_REPEATED + 1)).otherwise(F.lit(DAYS_ONCE))
-    slices = F.when(F.col("width").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(
-        F.sequence(F.floor((F.col("day") - reach) / F.col("width")), F.floor((F.col("day") + reach) / F.col("width")))
-    )
-    own = F.when(F.col("width").isNull(), F.lit(0).cast("bigint")).otherwise(F.floor(F.col("day") / F.col("width")))
-    spread = placed.withColumn("own", own).withColumn("slice", F.explode(slices))
-    spread = spread.withColumn("stays", (F.col("slice") == F.col("own")).cast("int")).where(
-        (F.col("stays") == 1) | (F.col("batch_no") >= first_batch)
-    )
-    segment = F.when(F.col("width").isNull(), F.pmod("tourney", F.lit(buckets))).otherwise(F.xxhash64("tourney", "slice"))
-    grouped = spread.select(segment.alias("segment"), "rec_id", "batch_no", "stays", *what)
-    parts = max(1, min(buckets, 4 * spark.sparkContext.defaultParallelism))
-    found = grouped.repartition(parts, "segment").groupBy("segment").applyInPandas(
-        _replay(first_batch), "rec_id_first bigint, rec_id_repeat bigint"
-    )
-    found = scratch.write(found.groupBy("rec_id_repeat").agg(F.min("rec_id_first").alias("rec_id_first")), "found")
-    # copies of a row are repeats of its first report, and so of whatever that one repeats
-    several = unique.where("n > 1").select(*what, F.col("rec_id").alias("kept"))
-    same = F.lit(True)
-    for c in what:
-        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
-    copies = (
-        rows.where(F.col("batch_no") >= first_batch).alias("r").join(several.alias("s"), same)
-        .where("r.rec_id <> s.kept").select(F.col("s.kept").alias("rec_id_first"), F.col("r.rec_id").alias("rec_id_repeat"))
-    )
-    links = found.select("rec_id_first", "rec_id_repeat").unionByName(copies)
-    for step in range(3):  # a first report that is itself a repeat (it came in another segment, or as a copy)
-        links = scratch.write(links, f"links{step}")
-        onward = links.select(F.col("rec_id_repeat").alias("rec_id_first"), F.col("rec_id_first").alias("before"))
-        links = links.join(onward, "rec_id_first", "left").select(
-            F.coalesce("before", "rec_id_first").alias("rec_id_first"), "rec_id_repeat"
-        )
-    return links
+    scratch = Scratch(spark, "history")
+    index = MatchIndex(spark, scratch.root)
+    found = index.add(records, first_batch)
+    for name in ("nodes-0", "odd-0", "players", "splits", "hot", "live"):
+        scratch.drop(name)
+    return found
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
