@@ -2,7 +2,7 @@
 
 A record becomes a vector in which reports of one match lie close together, whatever form they came in. The history is
 divided into segments (by tourney, large tourneys also by the pair of players), and every segment has a graph shard of
-the history and one more for each later batch. The shards are stored: a new batch reads the segments it has rows in,
+the history and one more for each later delivery. The shards are stored: a new batch reads the segments it has rows in,
 asks their shards, and adds its own shard; batch shards are merged on a schedule. What lies within the radius of a row is
 compared with it exactly, field by field.
 
@@ -13,7 +13,6 @@ that hold rows under a single player; rows without a tourney in graphs that hold
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deuceframe.llm.smallworld import ACCEPTED, LINKS, Graph
+from deuceframe.llm.smallworld import ACCEPTED, LINKS, TUNING, Graph
 from deuceframe.session import Scratch, remove
 from deuceframe.session import exists as _exists
 from deuceframe.sources.tables import table
@@ -30,8 +29,10 @@ from deuceframe.sources.tables import table
 SEGMENT_ROWS = 2048
 #: Segments whose rows are stored together.
 SEGMENTS_OF_BIN = 4
-#: Shards of batches, and stored runs, that are kept before they are merged into one.
+#: Deliveries that are kept apart before their shards are merged into one.
 COMPACT_AFTER = 4
+#: Batches of a delivery in the report on batches.
+BATCHES = 4
 #: Candidate pairs that are compared at once.
 PAIRS = 1 << 20
 #: Days by which two reports of a match may differ, in rounds that a player plays once and in repeated ones.
@@ -251,17 +252,19 @@ class Shard:
     The rows are in the order of their nodes; rows that have no place in the graph come last, with node -1.
     """
 
-    def __init__(self, rows: dict[str, np.ndarray], first: np.ndarray, graph: Graph | None = None, node: np.ndarray | None = None):
+    def __init__(self, rows: dict[str, np.ndarray], first: np.ndarray, graph: Graph | None = None, node: np.ndarray | None = None, v: np.ndarray | None = None):
         if graph is None:
             clear = np.flatnonzero(_clear(rows))
             day = np.where(rows["round"] == REPEATED, rows["day"], 0)
             keys = _mixed(*[(day if c == "day" else rows[c])[clear] for c in ("place", "one", "two", "round", "day")])
             _, at, of = np.unique(keys, return_index=True, return_inverse=True)
-            some = _take(rows, clear[at])
-            graph = Graph(vectors(some))
-            graph.tune(vectors(some | {"day": some["day"] + np.arange(len(at)) % (2 * DAYS_REPEATED + 1) - DAYS_REPEATED})[graph.order], _radius(some)[graph.order])
+            graph = Graph(vectors(_take(rows, clear[at])) if v is None else v[clear[at]])
             place = np.empty(len(at), np.int64)
             place[graph.order] = np.arange(len(at))
+            if graph.beam:  # as rows that come will ask: some days beside the node
+                some = _take(rows, clear[at][graph.order][:: max(1, len(at) // TUNING)])
+                some["day"] = some["day"] + np.arange(len(some["day"])) % (2 * DAYS_REPEATED + 1) - DAYS_REPEATED
+                graph.tune(vectors(some), _radius(some))
             node = np.full(len(first), -1)
             node[clear] = place[of.ravel()]
             order = np.lexsort((rows["rec_id"], node, node < 0))
@@ -290,70 +293,45 @@ class Shard:
             yield from _equal_keys(by(q, mine), by(self.rows, held))
 
 
-class SegmentIndex:
-    """The shards of one segment."""
+def equal_pairs(rows: dict[str, np.ndarray], v: np.ndarray, shard: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row held) of all pairs that are one match and of which the held row came first (v: the rows' vectors)."""
+    for q, x in shard.pairs(rows, v):
+        likely = shard.rows["rec_id"][x] < rows["rec_id"][q]
+        q, x = q[likely], x[likely]
+        equal = same_match(_take(rows, q), _take(shard.rows, x))
+        yield q[equal], x[equal]
 
-    def __init__(self, kept: int = 0):
-        """kept: so many shards at the beginning stay apart when the others are merged."""
-        self.shards: list[Shard] = []
-        self.kept = kept
 
-    def append(self, shard: Shard) -> None:
-        self.shards.append(shard)
-        if len(self.shards) > COMPACT_AFTER + self.kept:
-            self.compact()
-
-    def compact(self) -> None:
-        """Merges the shards that are not kept apart into one."""
-        rest = self.shards[self.kept :]
-        rows = {k: np.concatenate([s.rows[k] for s in rest]) for k in rest[0].rows}
-        self.shards = [*self.shards[: self.kept], Shard(rows, np.concatenate([s.first for s in rest]))]
-
-    def first_reports(self, rows: dict[str, np.ndarray], shards: list[Shard] | None = None) -> np.ndarray:
-        """The smallest first report of the matches that equal each row, of rows with a smaller rec_id; -1: none."""
-        v = vectors(rows)
-        out = np.full(len(v), np.iinfo(np.int64).max)
-        for shard in self.shards if shards is None else shards:
-            for q, x in shard.pairs(rows, v):
-                likely = shard.rows["rec_id"][x] < rows["rec_id"][q]
-                q, x = q[likely], x[likely]
-                equal = same_match(_take(rows, q), _take(shard.rows, x))
-                np.minimum.at(out, q[equal], shard.first[x[equal]])
-        return np.where(out == np.iinfo(np.int64).max, -1, out)
-
-
-def _smaller(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smaller of two reports, -1 meaning none."""
-    return np.where(a < 0, b, np.where(b < 0, a, np.minimum(a, b)))
+def first_reports(rows: dict[str, np.ndarray], v: np.ndarray, shards: list[Shard]) -> np.ndarray:
+    """The smallest first report of the earlier rows that equal each row; -1: none."""
+    none = np.iinfo(np.int64).max
+    out = np.full(len(v), none)
+    for shard in shards:
+        for q, x in equal_pairs(rows, v, shard):
+            np.minimum.at(out, q, shard.first[x])
+    return np.where(out == none, -1, out)
 
 
-def replay(index: SegmentIndex, rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first, repeat): all batches of a segment in their order against the shards so far; each becomes the next shard.
+def deliver(shards: list[Shard], rows: dict[str, np.ndarray]) -> tuple[Shard, tuple[np.ndarray, np.ndarray]]:
+    """The shard of a delivery's rows (in the order of rec_id), and their repeats (first, repeat).
 
-    Rows that do not stay (they ask here, but belong to another segment) are in no shard.
+    The rows ask the shards so far and, for what came earlier in the same delivery, their own. Rows that do not stay
+    (they ask here, but belong to another segment) are in no shard.
     """
-    kept = list(index.shards)
-    in_kept = index.first_reports(rows, kept)  # no batch changes these shards: one search for all batches
-    out = [(np.empty(0, np.int64),) * 2]
-    for batch in np.unique(rows["batch_no"]):
-        at = np.flatnonzero(rows["batch_no"] == batch)
-        mine, stays = _take(rows, at), rows["stays"][at] == 1
-        first = _smaller(in_kept[at], index.first_reports(mine, index.shards[len(kept) :]))
-        own = Shard(_take(mine, stays), mine["rec_id"][stays])
-        within = index.first_reports(mine, [own])
-        # a row's first report is that of the earlier row of its batch, if that one has an earlier report
-        position = {r: i for i, r in enumerate(mine["rec_id"].tolist())}
-        for i in np.argsort(mine["rec_id"], kind="stable"):
-            if within[i] >= 0:
-                other = first[position[within[i]]]
-                best = within[i] if other < 0 else other
-                first[i] = best if first[i] < 0 else min(first[i], best)
-        hit = first >= 0
-        out.append((first[hit], mine["rec_id"][hit]))
-        known = dict(zip(mine["rec_id"].tolist(), np.where(hit, first, mine["rec_id"]).tolist(), strict=True))
-        own.first = np.array([known[r] for r in own.rows["rec_id"].tolist()], np.int64)
-        index.append(own)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    v, stays = vectors(rows), rows["stays"] == 1
+    first = first_reports(rows, v, shards)
+    own = Shard(_take(rows, stays), rows["rec_id"][stays], v=v[stays])
+    where = np.searchsorted(rows["rec_id"], own.rows["rec_id"])
+    pairs = [(np.empty(0, np.int64),) * 2, *((q, where[x]) for q, x in equal_pairs(rows, v, own))]
+    q, x = (np.concatenate(p) for p in zip(*pairs, strict=True))
+    order = np.argsort(q, kind="stable")
+    # in the order of the rows: an earlier row of the delivery may be a repeat itself
+    for i, k in zip(q[order].tolist(), x[order].tolist(), strict=True):
+        best = first[k] if first[k] >= 0 else rows["rec_id"][k]
+        first[i] = best if first[i] < 0 else min(first[i], best)
+    own.first = np.where(first[where] >= 0, first[where], own.rows["rec_id"])
+    hit = first >= 0
+    return own, (first[hit], rows["rec_id"][hit])
 
 
 HELD = ("rec_id", "first", *FIELDS)
@@ -403,21 +381,19 @@ def _node_table(segment: int, bin_: int, shards: list[Shard], links: tuple[np.nd
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in NODE.split(", ")])
 
 
-def _process(held: list[Shard], t: pa.Table, segment: int, bin_: int) -> pa.Table:
+def _process(held: list[Shard], t: pa.Table, segment: int, bin_: int, keep: bool = True) -> pa.Table:
     rows = _take(r := _arrays(t, ("rec_id", "first", "batch_no", "stays", "held", *FIELDS)), np.argsort(t.column("rec_id").to_numpy(), kind="stable"))
     known = rows["held"] == 1
     shards = list(held)
     if known.any():  # rows of the history that come in this run: their own shard, built here
         base = _take(rows, known)
         shards.append(Shard(base, base["first"]))
-    index = SegmentIndex(len(shards))
-    index.shards = shards
-    links = replay(index, _take(rows, ~known))
-    return _node_table(segment, bin_, index.shards[len(held) :], links)
+    own, links = deliver(shards, _take(rows, ~known))
+    return _node_table(segment, bin_, [*shards[len(held) :], own] if keep else [], links)
 
 
-def _first_run(key: tuple, t: pa.Table) -> pa.Table:
-    return _process([], t, key[1].as_py(), key[0].as_py())
+def _first_run(keep: bool):
+    return lambda key, t: _process([], t, key[1].as_py(), key[0].as_py(), keep)
 
 
 def _later_run(key: tuple, t: pa.Table, stored: pa.Table) -> pa.Table:
@@ -502,11 +478,12 @@ class MatchIndex:
         large = sizes.where((F.col("size") > SEGMENT_ROWS) & F.col("from_day").isNotNull()).select(*key, width.alias("width"), "from_day", "to_day")
         return None if large.isEmpty() else large
 
-    def add(self, records: DataFrame, first_batch: int = 1) -> DataFrame:
+    def add(self, records: DataFrame, first_batch: int = 1, keep: bool = True) -> DataFrame:
         """Takes a delivery in, and returns its repeats: (rec_id_first, rec_id_repeat).
 
         The first delivery holds the accepted history (batch_no below first_batch, or null) and may hold batches as well;
         later ones hold batches. Of what is stored, a delivery reads only the bins of the segments it has rows in.
+        keep: whether its shards are stored for later deliveries.
         """
         number, first_time = max(self.live, default=-1) + 1, not self.live
         if len(self.live) > COMPACT_AFTER + 1:
@@ -515,22 +492,27 @@ class MatchIndex:
         work = Scratch(self.spark, "delivery")
         given = records.where("rec_id is not null").withColumn("batch_no", F.coalesce("batch_no", F.lit(0)))
         if first_time:
-            self._write(_players(given.where(F.col("batch_no") < first_batch)), "players")
+            players = _players(given.where(F.col("batch_no") < first_batch))
+            players = self._write(players, "players") if keep else players
+        else:
+            players = self._table("players")
         later = given.where(F.col("batch_no") >= first_batch) if first_time else given
-        rows = canonical(given, player_aliases(later, self._table("players"))).where("lo is not null")
+        rows = canonical(given, player_aliases(later, players)).where("lo is not null")
         rows = work.write(rows, "rows")
         unique = rows.groupBy(*FIELDS).agg(F.min("rec_id").alias("rec_id"), F.min("batch_no").alias("batch_no"), F.count(F.lit(1)).alias("n"))
         history = (F.col("batch_no") < first_batch) if first_time else F.lit(False)
         unique = work.write(unique.withColumn("held", history.cast("int")).withColumn("first", F.col("rec_id")), "unique")
         whole = F.col("hi").isNotNull() & F.col("tourney").isNotNull()
-        self._write(unique.where(~whole & F.col("day").isNotNull()), f"odd-{number}")
+        if keep:
+            self._write(unique.where(~whole & F.col("day").isNotNull()), f"odd-{number}")
         if first_time:
             total = unique.count()
             self.segments = max(1, -(-total // SEGMENT_ROWS))
             self.bins = max(1, min(8192, -(-self.segments // SEGMENTS_OF_BIN)))
-            sizes = unique.where("tourney is not null").groupBy("tourney").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SEGMENT_ROWS)
+            sizes = unique.where(whole).groupBy("tourney").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > SEGMENT_ROWS)
             self._write(sizes.select("tourney", F.ceil(F.col("size") / SEGMENT_ROWS).cast("int").alias("parts")), "splits")
-            pairs = self._large(unique, ["tourney", "lo", "hi"])
+            within = unique.where(whole).join(self._table("splits").select("tourney"), "tourney", "left_semi")
+            pairs = self._large(within, ["tourney", "lo", "hi"])
             if pairs is not None:
                 self._write(pairs, "hot")
         hot = self._table("hot") if _exists(self.spark, f"{self.root}/hot") else None
@@ -540,12 +522,13 @@ class MatchIndex:
         tasks = max(1, min(self.bins, 8 * self.spark.sparkContext.defaultParallelism))
         groups = placed.repartition(tasks, "bin").groupBy("bin", "segment")
         if first_time:
-            done = groups.applyInArrow(_first_run, NODE)
+            done = groups.applyInArrow(_first_run(keep), NODE)
         else:
             asked = [r.bin for r in placed.select("bin").distinct().collect()]  # at most as many as bins
             stored = self._runs("nodes", self.live).where(F.col("bin").isin(asked))
             done = groups.cogroup(stored.repartition(tasks, "bin").groupBy("bin", "segment")).applyInArrow(_later_run, NODE)
-        done.write.mode("overwrite").partitionBy("bin").parquet(f"{self.root}/nodes-{number}")
+        writer = done.write.mode("overwrite")
+        (writer.partitionBy("bin") if keep else writer).parquet(f"{self.root}/nodes-{number}")
         nodes = self._table(f"nodes-{number}")
         links = nodes.where("shard = -1").select(F.col("first").alias("rec_id_first"), F.col("rec_id").alias("rec_id_repeat"))
         odd = self._odd(work, unique, first_time)
@@ -562,8 +545,12 @@ class MatchIndex:
             .where("r.rec_id <> s.kept").select(F.col("s.kept").alias("rec_id_first"), F.col("r.rec_id").alias("rec_id_repeat"))
         )
         links = links.unionByName(copies).groupBy("rec_id_repeat").agg(F.min("rec_id_first").alias("rec_id_first"))
-        links = _resolved(work, links, self._runs("repeats", self.live) if self.live else None)
-        out = self._write(links.select("rec_id_first", "rec_id_repeat"), f"repeats-{number}")
+        links, last = _resolved(work, links, self._runs("repeats", self.live) if self.live else None)
+        if not keep:
+            remove(self.spark, self.root)
+            work.keep_only(last)
+            return links
+        out = self._write(links, f"repeats-{number}")
         work.drop()
         self._publish([*self.live, number])
         return out
@@ -590,10 +577,8 @@ class MatchIndex:
         views = []
 
         def view(rows: DataFrame, key: list[str], only: DataFrame, one: Column, two: Column) -> None:
-            mine = rows.join(only, key, "left_semi")
-            mine = self._sliced(mine, key, self._large(mine, key))
-            place = F.xxhash64(F.lit(len(views)), *key, "slice").alias("place")
-            views.append(mine.select(place, "rec_id", "first", "batch_no", "stays", "held", *FIELDS, one.alias("one"), two.alias("two")))
+            place = F.xxhash64(F.lit(len(views)), *key).alias("place")
+            views.append(rows.join(only, key, "left_semi").select(place, "rec_id", "first", "batch_no", "held", *FIELDS, one.alias("one"), two.alias("two")))
 
         no = F.lit(None).cast("bigint")
         by_player = known.where("tourney is not null").withColumn("player", F.explode(F.array_compact(F.array("lo", "hi"))))
@@ -604,7 +589,9 @@ class MatchIndex:
         by_counts = odd.where(lacking).withColumn("equal", F.explode(F.array_compact(F.array(*keys))))
         view(by_counts, ["tourney", "equal"], by_counts.where("held = 0").select("tourney", "equal").distinct(), no, no)
         together = work.write(views[0].unionByName(views[1]).unionByName(views[2]), "views")
-        bins = max(1, -(-together.count() // SEGMENT_ROWS))
+        together = self._sliced(together, ["place"], self._large(together, ["place"]))
+        together = together.withColumn("place", F.xxhash64("place", "slice")).drop("slice")
+        bins = max(1, -(-work.read("views").count() // SEGMENT_ROWS))
         tasks = max(1, min(bins, 8 * self.spark.sparkContext.defaultParallelism))
         together = together.withColumn("bin", F.pmod(F.col("place"), F.lit(bins)).cast("int"))
         done = together.repartition(tasks, "bin").groupBy("bin").applyInArrow(_odd_run, "rec_id_first bigint, rec_id_repeat bigint")
@@ -647,14 +634,14 @@ def _odd_run(key: tuple, t: pa.Table) -> pa.Table:
     for asks, holds in ((asking & ~odd, stays & odd), (asking & odd, stays)):
         if asks.any() and holds.any():
             base, q = _take(rows, holds), _take(rows, asks)
-            first = SegmentIndex().first_reports(q, [Shard(base, base["first"])])
+            first = first_reports(q, vectors(q), [Shard(base, base["first"])])
             out.append((first[first >= 0], q["rec_id"][first >= 0]))
     first, repeat = (np.concatenate(x) for x in zip(*out, strict=True))
     return pa.table({"rec_id_first": first, "rec_id_repeat": repeat})
 
 
-def _resolved(work: Scratch, links: DataFrame, before: DataFrame | None) -> DataFrame:
-    """The links, with first reports that are repeats themselves (found in another segment, as a copy, or by an earlier
+def _resolved(work: Scratch, links: DataFrame, before: DataFrame | None) -> tuple[DataFrame, str]:
+    """The links (and the name of their table), with first reports that are repeats themselves (found in another segment, as a copy, or by an earlier
     delivery) replaced by theirs until none is left; each step halves the longest chain."""
     step = 0
     while True:
@@ -663,7 +650,7 @@ def _resolved(work: Scratch, links: DataFrame, before: DataFrame | None) -> Data
         onward = onward.groupBy(F.col("rec_id_repeat").alias("rec_id_first")).agg(F.min("rec_id_first").alias("before"))
         joined = links.join(onward, "rec_id_first", "left")
         if joined.where("before is not null").isEmpty():
-            return links
+            return links, f"links{step}"
         links = joined.select(F.coalesce("before", "rec_id_first").alias("rec_id_first"), "rec_id_repeat")
         step += 1
 
@@ -684,10 +671,7 @@ def repeated_deliveries(records: DataFrame, first_batch: int = 1) -> DataFrame:
         return spark.createDataFrame([], "rec_id_first bigint, rec_id_repeat bigint")
     scratch = Scratch(spark, "history")
     index = MatchIndex(spark, scratch.root)
-    found = index.add(records, first_batch)
-    for name in ("nodes-0", "odd-0", "players", "splits", "hot", "live"):
-        scratch.drop(name)
-    return found
+    return index.add(records, first_batch, keep=False)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -695,11 +679,22 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """For each later batch, how many rows came and how many of them had been delivered before."""
+    """For each later batch, how many rows came and how many of them had been delivered before: a stored index gets the
+    batches in deliveries of BATCHES, each reading what it needs of it."""
     records = table(spark, folder, "records")
-    repeats = repeated_deliveries(records).select(F.col("rec_id_repeat").alias("rec_id"), F.lit(True).alias("repeat"))
+    scratch = Scratch(spark, "batches")
+    index = MatchIndex(spark, scratch.root)
+    batches = [r.batch_no for r in records.where("batch_no >= 1").select("batch_no").distinct().orderBy("batch_no").collect()]
+    index.add(records.where("batch_no = 0 or batch_no is null"))
+    found = spark.createDataFrame([], "rec_id_repeat bigint")
+    for at in range(0, len(batches), BATCHES):
+        repeats = index.add(records.where(F.col("batch_no").isin(batches[at : at + BATCHES]))).select("rec_id_repeat")
+        found = found.unionByName(scratch.write(repeats, f"found-{at}"))
+    repeats = found.select(F.col("rec_id_repeat").alias("rec_id"), F.lit(True).alias("repeat"))
     rows = records.where("batch_no >= 1").select("rec_id", "batch_no").join(repeats, "rec_id", "left")
-    return rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"), F.count("repeat").alias("repeats"))
+    counts = scratch.write(rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("rows"), F.count("repeat").alias("repeats")), "counts")
+    scratch.keep_only("counts")
+    return counts
 
 
 QUERIES = {"p2_found": p2_found, "p2_batches": p2_batches}

@@ -8,14 +8,16 @@ import numpy as np
 #: to CHANCE shorter), candidates that are considered, and the size up to which a shard needs no graph.
 LINKS, ACCEPTED, CHOICE, CHANCE, SMALL = 6, 8, 16, 0.3, 128
 #: Beam while building and at first, its largest width, and the share of the near nodes that a tuned beam must find.
-BUILDING, BEAM, WIDEST, RECALL = 8, 16, 192, 0.999
+BUILDING, BEAM, WIDEST, RECALL = 4, 16, 192, 0.999
 #: Nodes of a beam opened in one round.
-OPENED = 3
+OPENED = 4
 #: Distances that an exhaustive search holds at a time.
 CELLS = 1 << 22
 #: Queries that a beam is tuned on; nodes from whose nearest a search starts while building, and one in how many
 #: nodes is such an entry afterwards.
 TUNING, ENTRIES, ENTRY_SHARE = 64, 128, 12
+#: Queries searched for at once.
+QUERIES = 512
 #: New nodes that also look among each other.
 BLOCK = 512
 
@@ -41,8 +43,8 @@ class Graph:
         self.order = np.random.default_rng(len(vectors)).permutation(len(vectors))  # neighbours in the input come apart
         self.vectors = self.vectors[self.order]
         self.squares = (self.vectors * self.vectors).sum(1)
-        self._add(0, min(SMALL * 2, len(vectors)))
-        size = min(SMALL * 2, len(vectors))
+        self._add(0, min(BLOCK, len(vectors)))
+        size = min(BLOCK, len(vectors))
         while size < len(vectors):
             to = min(2 * size, len(vectors))
             self._add(size, to)
@@ -129,8 +131,8 @@ class Graph:
     def _beam_search(self, queries: np.ndarray, size: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the beam of each query, nearest first, over the first `size` nodes."""
         out_ids, out_d = [], []
-        for at in range(0, len(queries), 1024):
-            ids, d = self._search_some(queries[at : at + 1024], size, beam)
+        for at in range(0, len(queries), QUERIES):
+            ids, d = self._search_some(queries[at : at + QUERIES], size, beam)
             out_ids.append(ids), out_d.append(d)
         return np.concatenate(out_ids), np.concatenate(out_d)
 

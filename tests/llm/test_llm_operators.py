@@ -140,14 +140,20 @@ def test_graph_recall_against_exhaustive_search():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(3000, 10)).astype(np.float32)
     q = v[:300] + rng.normal(size=(300, 10)).astype(np.float32) * 0.02
+    radius = np.full(300, 1.6)
     graph = smallworld.Graph(v)
-    assert graph.tune(q, 1.0) >= smallworld.RECALL
-    found = graph.nearest(q)
-    assert np.mean([i in row for i, row in enumerate(found)]) >= 0.99
+    assert graph.tune(q, radius) >= smallworld.RECALL
+    row, node = graph.within(q, radius)
+    got = set(zip(row.tolist(), graph.order[node].tolist(), strict=True))
+    near = np.sqrt(((q[:, None] - v[None]) ** 2).sum(2))
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(near <= 1.6)), strict=True))
+    assert len(got & want) / len(want) >= 0.99 and len(want) > 600
+    again = smallworld.Graph.stored(graph.vectors, graph.links.astype(np.int16), graph.beam)
+    assert all((x == y).all() for x, y in zip(again.within(q, radius), (row, node), strict=True))
     for n in (0, 1, 5, 129):
-        assert smallworld.Graph(v[:n]).nearest(q).shape[0] == 300
+        assert len(smallworld.Graph(v[:n]).within(q, radius)[0]) >= min(n, 1)
     same = smallworld.Graph(np.zeros((500, 10), np.float32))
-    assert (same.nearest(np.zeros((2, 10), np.float32)) >= 0).any()
+    assert len(same.within(np.zeros((2, 10), np.float32), np.ones(2))[0]) == 1000  # more than any beam holds
 
 
 def _record(rec_id, batch, tid="2022-0007", rnd="R16", a=200001, b=200002, day=dt.date(2022, 5, 6), points=(60, 70), season=2022):
@@ -171,25 +177,45 @@ def test_repeated_deliveries(spark):
     ]
     df = spark.createDataFrame(rows, RECORD).withColumn("n", F.lit("clash"))
     got = {r.rec_id_repeat: r.rec_id_first for r in history.repeated_deliveries(df).collect()}
-    assert got == {7: 1, 8: 1, 9: 3, 10: 4, 12: 11, 14: 13, 18: 3}
+    assert got == {7: 1, 8: 1, 9: 3, 10: 4, 12: 11, 14: 13, 16: 1, 17: 1, 18: 3}
     assert history.repeated_deliveries(df.where("false")).count() == 0
     copies = spark.createDataFrame([_record(i, 0 if i < 50 else 1) for i in range(1, 400)], RECORD)
     got = history.repeated_deliveries(copies).toPandas()
     assert len(got) == 350 and set(got.rec_id_first) == {1}
 
 
-def test_index_shards_and_compaction():
-    rng = np.random.default_rng(3)
-    n = 700
-    rows = {"rec_id": np.arange(n), "batch_no": np.repeat(np.arange(7), 100), "stays": np.ones(n, int), "tourney": np.full(n, 5), "round": np.full(n, 4), "day": rng.integers(19000, 19600, n),
-            "lo": rng.integers(1, 80, n), "hi": rng.integers(100, 180, n), **{c: rng.integers(20, 90, n) for c in history.COUNTS}}
-    index = history.SegmentIndex()
-    for b in range(7):
-        part = history._take(rows, rows["batch_no"] == b)
-        index.add(part, part["rec_id"])
-    assert len(index.shards) <= history.COMPACT_AFTER + 1 and sum(len(s[1]) for s in index.shards) == n
-    again = rows | {"rec_id": rows["rec_id"] + n}
-    assert (index.first_reports(again) >= 0).mean() > 0.995
+def test_stored_index_takes_deliveries_and_compacts(spark, monkeypatch, tmp_path):
+    rng = random.Random(7)
+    day = dt.date(2022, 5, 2)
+    rows = [_record(i, 0, a=200000 + i % 40, b=300000 + i % 37, tid=f"2022-{1 + i % 5}", rnd=["R16", "RR", "QF"][i % 3], day=day + dt.timedelta(i % 80), points=(40 + i % 50, 60)) for i in range(1, 400)]
+    for i in range(400, 700):
+        old = rng.choice(rows[:399] if i < 500 else rows)
+        a, b = (old[6], old[7]) if i % 7 else (old[6], None)
+        tid = old[2] if i % 11 else None
+        rows.append((i, 1 + (i - 400) // 40, tid, *old[3:6], a, b, *old[8:]) if i % 3 else _record(i, 1 + (i - 400) // 40, a=210000 + i, b=310000 + i % 90, tid="2022-9"))
+    df = spark.createDataFrame(rows, RECORD).cache()
+    whole = {r.rec_id_repeat: r.rec_id_first for r in history.repeated_deliveries(df).collect()}
+    monkeypatch.setattr(history, "COMPACT_AFTER", 2)
+    monkeypatch.setattr(history, "SEGMENT_ROWS", 60)
+    root, got = f"file://{tmp_path}/index", {}
+    history.MatchIndex(spark, root).add(df.where("batch_no = 0"))
+    for batch in range(1, 9):
+        index = history.MatchIndex(spark, root)  # what was stored is all it knows
+        got |= {r.rec_id_repeat: r.rec_id_first for r in index.add(df.where(f"batch_no = {batch}")).collect()}
+        assert len(index.live) <= history.COMPACT_AFTER + 2
+    assert len(whole) > 150 and got == whole
+
+
+def test_recall_over_all_true_pairs_by_days_apart(spark):
+    rng = np.random.default_rng(11)
+    n, day, d = 2200, dt.date(2022, 1, 3), dt.timedelta
+    held = [_record(i, 0, a=int(rng.integers(200000, 200150)), b=int(rng.integers(300000, 300150)), tid=f"2022-{i % 6}", rnd=["R16", "RR"][i % 2], day=day + d(int(rng.integers(0, 200))), points=None) for i in range(1, n)]
+    asked = [(n + k, 1, *h[2:5], h[5] + d(k // 2 % (22 if h[4] == "R16" else 4)), *h[6:]) for k, h in enumerate(held)]
+    got = {r.rec_id_repeat: r.rec_id_first for r in history.repeated_deliveries(spark.createDataFrame(held + asked, RECORD)).collect()}
+    hit = np.array([n + k in got and got[n + k] <= held[k][0] for k in range(len(held))])
+    apart = np.arange(len(held)) // 2 % 22
+    single = np.array([h[4] == "R16" for h in held])
+    assert hit.mean() > 0.995 and all(hit[single & (apart == k)].mean() >= 0.95 for k in range(22))
 
 
 def test_repeats_weeks_apart_cross_date_slices(spark, monkeypatch):
@@ -206,27 +232,29 @@ def _dense_league(n=4000, a_day=530):
     """Rows of one tourney, round robin, many a day, between players who often play."""
     rng = np.random.default_rng(5)
     lo, hi = rng.integers(1, 400, n), rng.integers(400, 800, n)
-    return {"rec_id": np.arange(n), "batch_no": np.zeros(n, int), "stays": np.ones(n, int), "tourney": np.full(n, 5), "round": np.full(n, 7),
+    return {"rec_id": np.arange(n), "batch_no": np.zeros(n, int), "tourney": np.full(n, 5), "round": np.full(n, 7),
             "day": 19000 + np.arange(n) // a_day, "lo": lo, "hi": hi, **{c: rng.integers(20, 90, n) for c in history.COUNTS}}
 
 
-def test_rows_without_a_player_meet_all_rows_of_their_player():
-    rows = _dense_league()
+def test_rows_without_a_player_meet_all_rows_of_their_player(spark):
+    rows = _dense_league(1500, 200)
     n = len(rows["rec_id"])
     lacking = rows | {"hi": np.full(n, -1)}
-    off = {"rec_id": rows["rec_id"] + n, "day": rows["day"] + np.arange(n) % 4 - 1}
+    off = {"rec_id": rows["rec_id"] + n, "day": rows["day"] + np.arange(n) % 4 - 1, "batch_no": np.ones(n, int)}
     other = lacking | {"lo": rows["hi"]}  # names only the other player, the counts in the same places
     for held, asked in ((rows, lacking | off), (lacking, rows | off), (lacking, other | off)):
-        index = history.SegmentIndex()
-        index.add(held, held["rec_id"])
-        got = index.first_reports(asked)
         every = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+        equal = history.same_match(history._take(asked, every[0]), history._take(held, every[1]))
         want = np.full(n, n)
-        for at in range(0, n * n, 1 << 20):
-            q, x = every[0][at : at + (1 << 20)], every[1][at : at + (1 << 20)]
-            equal = history.same_match(history._take(asked, q), history._take(held, x))
-            np.minimum.at(want, q[equal], held["rec_id"][x[equal]])
-        assert (want < n).mean() > 0.7 and (got == np.where(want == n, -1, want)).all()
+        np.minimum.at(want, every[0][equal], every[1][equal])
+        none = lambda x, least: None if x < least else int(x)
+        table = [
+            (int(r["rec_id"][i]) + 1, int(r["batch_no"][i]), "2022-L", 2022, "RR", dt.date(1970, 1, 1) + dt.timedelta(int(r["day"][i])), none(r["lo"][i], 0), none(r["hi"][i], 0), *[int(r[c][i]) for c in history.COUNTS])
+            for r in (held, asked) for i in range(n)
+        ]
+        got = {r.rec_id_repeat - n - 1: r.rec_id_first - 1 for r in history.repeated_deliveries(spark.createDataFrame(table, RECORD)).collect()}
+        found = want < n
+        assert found.mean() > 0.7 and np.mean([got.get(i, n) <= want[i] for i in np.flatnonzero(found)]) > 0.98
 
 
 def test_matching(spark):
