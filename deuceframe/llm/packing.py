@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from deuceframe.session import Scratch
 
-#: Items that one task packs together; it bounds the task's memory and time at every size of the input.
-GROUP_ITEMS = 20_000
+#: Items that one task packs together (it bounds the task's memory and time at every size of the input), and how many
+#: times fewer of them its emptiest bins may give back.
+GROUP_ITEMS, GIVEN_BACK = 20_000, 16
 PACKED = "container bigint, row bigint, doc_id bigint, piece int, token_from bigint, n_tokens bigint, loss_tokens bigint, position int"
 
 
@@ -64,33 +65,33 @@ def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return bins
 
 
-def _packed(round_no: int, limits: Limits, last: bool):
-    """Packs each group; the bins that are not nearly full are given back (container null) unless it is the last round."""
+def _kept(demand: np.ndarray, bins: np.ndarray, cap: np.ndarray, give_back: int) -> np.ndarray:
+    """Which bins are final: those nearly full, and of the others all but the emptiest, which together give back at most
+    `give_back` items. What fills no bins (items just over half a container) stays where it is after one round."""
+    used = np.zeros((bins.max() + 1, 3))
+    np.add.at(used, bins, demand)
+    room = ((cap - used) / cap).min(axis=1)
+    order = np.argsort(-room, kind="stable")
+    given = np.cumsum(used[order, 1]) <= give_back
+    keep = np.ones(len(used), bool)
+    keep[order[given]] = room[order[given]] <= 0.002
+    return keep
+
+
+def _packed(round_no: int, limits: Limits, give_back: int):
+    """Packs each group; the items of bins that are not final are given back (container null)."""
     cap = limits.array()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "row"], kind="stable").reset_index(drop=True)
         demand = np.stack([pdf.n_tokens.to_numpy(), np.ones(len(pdf)), pdf.loss_tokens.to_numpy()], 1).astype(float)
         bins = pack(demand, cap)
-        used = np.zeros((bins.max() + 1, 3))
-        np.add.at(used, bins, demand)
-        keep = np.ones(len(used), bool) if last else ((cap - used) <= np.array([0.002, 0, 0.002]) * cap).any(axis=1)
-        if not last:
-            keep |= used[:, 1] >= cap[1]
+        keep = _kept(demand, bins, cap, give_back)
         group = int(pdf.grp.iloc[0])
         container = np.where(keep[bins], (round_no << 56) + (group << 24) + bins, -1)
-        out = pd.DataFrame(
-            {
-                "container": pd.array(container, "Int64"),
-                "row": pdf.row,
-                "doc_id": pdf.doc_id,
-                "piece": pdf.piece,
-                "token_from": pdf.token_from,
-                "n_tokens": pdf.n_tokens,
-                "loss_tokens": pdf.loss_tokens,
-                "position": pd.Series(bins).groupby(bins).cumcount().astype("int32"),
-            }
-        )
+        out = pdf[["row", "doc_id", "piece", "token_from", "n_tokens", "loss_tokens"]].copy()
+        out.insert(0, "container", pd.array(container, "Int64"))
+        out["position"] = pd.Series(bins).groupby(bins).cumcount().astype("int32")
         out.loc[out.container == -1, "container"] = pd.NA
         return out
 
@@ -104,9 +105,10 @@ def fill_containers(items: DataFrame, limits: Limits = Limits(), group_items: in
     tokens take no space and get no row; null n_tokens count as 0. Only an item longer than a container is divided, into
     full containers and a rest. Repeated doc_ids are packed as separate items. An empty table gives an empty table.
 
-    Items go to groups by a hash, so that no key decides a group's size, and each group is packed alone. Bins that stay
-    under-filled are given back and packed again over larger unions of groups, until one group is left: the space lost
-    is that of one group's last bins, whatever the size of the input.
+    Items go to groups by a hash, so that no key decides a group's size, and each group is packed alone. Its emptiest bins
+    are given back, with at most one in GIVEN_BACK of its items, and what all groups gave back is packed again in the
+    same way, until one group is left: the rounds shrink fast, no task ever has more than about group_items, and what is
+    lost is the space in the last group's bins and in bins that items of such sizes cannot fill.
     """
     has_loss = "loss_tokens" in items.columns
     given = items.select(
@@ -143,20 +145,19 @@ def fill_containers(items: DataFrame, limits: Limits = Limits(), group_items: in
     while waiting:
         groups = -(-waiting // group_items)
         last = groups == 1
-        grouped = rest.withColumn(
-            "grp",
-            F.lit(0) if last else F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(groups)).cast("int"),
-        )
-        packed = grouped.drop("position").groupBy("grp").applyInPandas(_packed(round_no, limits, last), PACKED)
+        grouped = rest.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(round_no)), F.lit(groups)).cast("int"))
+        # one task a group: small partitions would be put together, though their work is large
+        spread = grouped.drop("position").repartition(groups, "grp")
+        packed = spread.groupBy("grp").applyInPandas(_packed(round_no, limits, 0 if last else group_items // GIVEN_BACK), PACKED)
         packed = scratch.write(packed, f"round{round_no}")
         done.append(packed.where("container is not null"))
         rest = packed.where("container is null")
-        before, waiting = waiting, rest.count()
-        if waiting > before * 0.9 and not last:  # what is left fills no bins in groups: wider groups
-            group_items = group_items * 2
+        waiting = 0 if last else rest.count()
         round_no += 1
     columns = ["container", "doc_id", "piece", "token_from", "n_tokens", "position"]
     out = done[0].select(*columns)
     for part in done[1:]:
         out = out.unionByName(part.select(*columns))
+    out = scratch.write(out, "placed")
+    scratch.keep_only("placed")
     return out
