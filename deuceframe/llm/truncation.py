@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,9 +30,10 @@ N_CHAR, N_ORDERS = len(CHAR_ORDERS), len(CHAR_ORDERS) + len(SHAPE_ORDERS)
 PAD = max(CHAR_ORDERS)
 #: Weight of the shorter context's estimate, in occurrences.
 SMOOTHING = (2.0, 4.0)
-#: Bits of the filter that tells which contexts end a text; a full filter only lets more candidates through.
-FILTER_BITS = 24
-#: Contexts that end more than this share of the texts are joined by broadcast; there are at most N_ORDERS * 2 / share.
+#: Bits of the filter (of the contexts that end a text) for each such context, and at most (as powers of two). Beyond, the
+#: contexts are counted in several passes, each with a filter for its share of them.
+BITS_EACH, FILTER_BITS = 8, 27
+#: Contexts that end more than this share of the texts are joined by broadcast; there are at most N_ORDERS / share.
 HOT_SHARE = 1 / 2000
 #: What transport puts behind a cut: ellipses, "more" marks, broken characters, beginnings of entities and tags.
 MARKS = re.compile(
@@ -40,9 +42,11 @@ MARKS = re.compile(
 #: A text whose ending, mark included, has this many characters in common with that of this many other texts is
 #: judged with its mark: its author put it there.
 MARK_CONTEXT, MARK_TEXTS = CHAR_ORDERS.index(8), 3
-#: Search range and first guess of the thresholds on the log-odds, and the weight of the pooled histogram.
-LOW, HIGH, GUESS, BIN = -7.0, -4.0, -5.3, 0.25
+#: Ends and steps of the histograms of log-odds (values beyond count at the ends), the weight of the pooled one in each
+#: group's, and how deep a valley must be, against the lower of the heights beside it, to be one.
+LOW, HIGH, BIN = -30.0, 15.0, 0.25
 POOLED_WEIGHT = 200.0
+VALLEY = 0.25
 MEMORY_ROWS = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _UPPER, _LOWER, _DIGIT, _SYMBOL = 65, 97, 57, 35
@@ -87,16 +91,19 @@ def _shape(chars: np.ndarray) -> np.ndarray:
     return classes[where]
 
 
-def contexts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def char_contexts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each order: its number, the hashes at all positions, and the place of each text's last one (-1: none)."""
     chars = _joined(texts)
-    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    if not len(chars):
-        return
-    last = np.cumsum(lengths + PAD) - 1
+    last = np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)) + PAD) - 1
     real = chars != 1
     for j, h in _rolling(chars.astype(np.uint64), CHAR_ORDERS, 0):
         yield j, h[real], np.cumsum(real)[last] - 1
+
+
+def shape_contexts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The same in units of shape."""
+    chars = _joined(texts)
+    last = np.cumsum(np.fromiter((len(t) for t in texts), np.int64, len(texts)) + PAD) - 1
     classes = _shape(chars)
     letters = (classes == _UPPER) | (classes == _LOWER)
     inside = np.zeros(len(chars), bool)  # hyphens and apostrophes between letters belong to the word
@@ -111,10 +118,29 @@ def contexts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield j, h[real], np.cumsum(real)[last_unit] - 1
 
 
+def contexts(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    if texts:
+        yield from char_contexts(texts)
+        yield from shape_contexts(texts)
+
+
+def _end(text: str) -> str:
+    """As much of the end as its shape needs: every blank is a unit of its own."""
+    return text[-200:] if text.count(" ", max(0, len(text) - 200)) > max(SHAPE_ORDERS) else text
+
+
 def strip_mark(text: str) -> str:
     return MARKS.sub("", text).rstrip()
 
 
+def _bare(text: str, tail: str) -> str:
+    """The end of the text without its mark."""
+    bare = strip_mark(tail)
+    if len(bare) < len(tail) < len(text) and bare.count(" ") <= max(SHAPE_ORDERS):
+        return _end(strip_mark(text))
+    return bare
+
+
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, hash of the text, contexts of the end, contexts of the end without its mark or null)."""
     for batch in batches:
@@ -122,15 +148,15 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = [i for i, t in enumerate(texts) if t]
         if not keep:
             continue
-        tails = [texts[i][-400:] for i in keep]  # longer than any context, shapes included, unless a run is longer
-        tails = [t if len(t) < 400 else texts[i] for t, i in zip(tails, keep, strict=True)]
-        bare = [strip_mark(t) for t in tails]
+        tails = [_end(texts[i]) for i in keep]
+        bare = [_bare(texts[i], t) for t, i in zip(tails, keep, strict=True)]
         rows = []
         for part in (tails, [b if b and b != t else "" for b, t in zip(bare, tails, strict=True)]):
             at = [i for i, t in enumerate(part) if t]
             table = np.zeros((len(part), N_ORDERS), np.uint64)
             if at:
-                for j, h, last in contexts([part[i] for i in at]):
+                some = [part[i] for i in at]
+                for j, h, last in chain(char_contexts([t[-PAD:] for t in some]), shape_contexts(some)):
                     table[at, j] = h[last]
             rows.append([list(r) if part[i] else None for i, r in enumerate(table.view(np.int64).tolist())])
         take = pa.array(keep)
@@ -146,7 +172,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_contexts(filter_bits: np.ndarray):
-    mask = np.uint64((1 << FILTER_BITS) - 1)
+    mask = np.uint64(8 * len(filter_bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[] for _ in range(N_ORDERS)]
@@ -184,19 +210,25 @@ def _count_contexts(filter_bits: np.ndarray):
     return run
 
 
-def _filter_of(endings: DataFrame) -> np.ndarray:
-    """The filter's bits: FILTER_BITS / 64 words at most come to the driver, 2 MB, whatever the number of texts."""
+def _filters(endings: DataFrame) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(bits, number of passes, pass): the filters of the contexts that end a text, one for each pass: at most 2 ** FILTER_BITS bits (16 MB) come to the
+    driver for each, whatever the number of texts, and at most one bit in BITS_EACH is set."""
     h = endings.select(F.explode(F.concat("ending", F.coalesce("bare", F.array()))).alias("h"))
-    bit = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = (
-        h.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 31 as int))").alias("v"))
-        .groupBy("word")
-        .agg(F.bit_or("v").alias("v"))
-        .toPandas()
-    )
-    bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    bits[words.word.to_numpy()] = words.v.to_numpy().astype(np.uint32)
-    return bits.view(np.uint8)
+    need = BITS_EACH * h.agg(F.approx_count_distinct("h").alias("n")).first().n
+    size = min(max(int(need - 1).bit_length(), 16), FILTER_BITS) if need else 16
+    passes = max(1, -(-need // (1 << FILTER_BITS)))
+    bit = F.col("h").bitwiseAND(F.lit((1 << size) - 1))
+    for number in range(passes):
+        mine = h if passes == 1 else h.where(F.pmod(F.shiftright("h", 32), F.lit(passes)) == number)
+        words = (
+            mine.select(F.shiftright(bit, 5).cast("int").alias("word"), F.expr("shiftleft(1L, cast(h & 31 as int))").alias("v"))
+            .groupBy("word")
+            .agg(F.bit_or("v").alias("v"))
+            .toPandas()
+        )
+        bits = np.zeros(1 << (size - 5), np.uint32)
+        bits[words.word.to_numpy()] = words.v.to_numpy().astype(np.uint32)
+        yield bits.view(np.uint8), passes, number
 
 
 def _log_odds(n: np.ndarray, ends: np.ndarray, orders: range, prior: float, weight: float, own_end: int) -> np.ndarray:
@@ -246,29 +278,44 @@ def language(lang: Column) -> Column:
     )
 
 
-def _thresholds(scored: DataFrame) -> DataFrame:
-    """(language, source, threshold): where the fewest scores lie between the cut and the finished texts.
+def valley(counts: np.ndarray) -> int | None:
+    """The bin of the deepest valley left of the histogram's largest height below its median, or None if it has none.
 
-    A group's histogram is filled up with the pooled one, so that small groups follow all texts.
+    A valley's depth is its density against the lower of the greatest densities on both sides, each with one count more,
+    so that a few scattered texts make none; of equal ones the one next to the height counts.
+    """
+    density = np.convolve(counts, (0.25, 0.5, 1.0, 0.5, 0.25), "same")
+    median = int(np.searchsorted(np.cumsum(counts), counts.sum() / 2))
+    top = int(np.argmax(density[: median + 1]))
+    if top < 2:
+        return None
+    before, after = np.maximum.accumulate(density)[:top], np.maximum.accumulate(density[top::-1])[::-1][:top]
+    depth = np.round((density[:top] + 1) / (np.minimum(before, after) + 1), 6)
+    best = top - 1 - int(np.argmin(depth[::-1]))
+    return best if depth[best] <= VALLEY else None
+
+
+def _thresholds(scored: DataFrame, otherwise: float) -> DataFrame:
+    """(language, source, threshold): the valley between the cut and the finished texts of each group.
+
+    A group's histogram is filled up with the pooled one, so that small groups follow all texts; where neither has a
+    valley, the threshold is `otherwise`.
     """
-    bins = scored.select(
-        "language", "source", F.floor((F.col("log_odds") - LOW) / BIN).cast("int").alias("bin")
-    ).where(f"bin >= -4 and bin < {int((HIGH - LOW) / BIN) + 4}")
-    counts = bins.groupBy("language", "source", "bin").agg(F.count(F.lit(1)).alias("n"))
+    width = int((HIGH - LOW) / BIN)
+    at = F.greatest(F.lit(0), F.least(F.lit(width - 1), F.floor((F.col("log_odds") - LOW) / BIN))).cast("int")
+    counts = scored.groupBy("language", "source", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     pooled = counts.groupBy("bin").agg(F.sum("n").alias("n")).toPandas()  # as many rows as bins
-    width = int((HIGH - LOW) / BIN) + 8
     base = np.zeros(width)
-    base[pooled.bin.to_numpy() + 4] = pooled.n
-    base = base / max(base.sum(), 1) * POOLED_WEIGHT
-    smooth = np.array([0.25, 0.5, 1.0, 0.5, 0.25])
+    base[pooled.bin.to_numpy()] = pooled.n
+    common = valley(base)
+    level = otherwise if common is None else LOW + (common + 0.5) * BIN
+    share = base * (POOLED_WEIGHT / max(base.sum(), 1))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = base.copy()
-        own[pdf.bin.to_numpy() + 4] += pdf.n.to_numpy()
-        density = np.convolve(own, smooth, "same")[4:-4]
-        middles = LOW + (np.arange(len(density)) + 0.5) * BIN
-        best = np.lexsort((np.abs(middles - GUESS), np.round(density, 6)))[0]
-        return pd.DataFrame({"language": [key[0]], "source": [key[1]], "threshold": [middles[best]]})
+        own = share.copy()
+        own[pdf.bin.to_numpy()] += pdf.n.to_numpy()
+        best = valley(own)
+        return pd.DataFrame({"language": [key[0]], "source": [key[1]], "threshold": [level if best is None else LOW + (best + 0.5) * BIN]})
 
     return counts.groupBy("language", "source").applyInPandas(one, "language string, source string, threshold double")
 
@@ -291,12 +338,15 @@ def truncated(docs: DataFrame) -> DataFrame:
         ),
         "endings",
     )
-    shared = spark.sparkContext.broadcast(_filter_of(endings))
-    counter = lambda batches: _count_contexts(shared.value)(batches)
-    counts = (
-        docs.select("text").where("length(trim(text)) > 0").mapInArrow(counter, "j int, h bigint, n bigint")
-        .groupBy("j", "h").agg(F.sum("n").alias("n"))
-    )
+    counts = None
+    for bits, passes, number in _filters(endings):
+        shared = spark.sparkContext.broadcast(bits)
+        counter = lambda batches, shared=shared: _count_contexts(shared.value)(batches)
+        found = docs.select("text").where("length(trim(text)) > 0").mapInArrow(counter, "j int, h bigint, n bigint")
+        if passes > 1:
+            found = found.where(F.pmod(F.shiftright("h", 32), F.lit(passes)) == number)
+        counts = found if counts is None else counts.unionByName(found)
+    counts = counts.groupBy("j", "h").agg(F.sum("n").alias("n"))
     long = endings.select("doc_id", "text_hash", F.posexplode("ending").alias("j", "h"))
     ends = (  # copies are reduced before the contexts meet
         long.groupBy("j", "h", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
@@ -339,13 +389,16 @@ def truncated(docs: DataFrame) -> DataFrame:
     scores = cells.mapInPandas(_score(priors), f"doc_id {kind}, log_odds double")
     about = docs.select("doc_id", language(F.col("lang")).alias("language"), F.coalesce("source", F.lit("")).alias("source"))
     scored = scratch.write(scores.join(about, "doc_id"), "scored")
-    return scored.join(F.broadcast(_thresholds(scored)), ["language", "source"], "left").select(
+    # where the texts show no valley: what ends in a context that ends more rarely than any place in a text
+    levels = scratch.write(_thresholds(scored, float(np.log(priors[0]))), "levels")
+    scratch.keep_only("scored", "levels")
+    return scored.join(levels, ["language", "source"], "left").select(
         "doc_id",
         "language",
         "source",
         "log_odds",
-        F.coalesce("threshold", F.lit(GUESS)).alias("threshold"),
-        (F.col("log_odds") < F.coalesce("threshold", F.lit(GUESS))).alias("is_cut"),
+        "threshold",
+        (F.col("log_odds") < F.col("threshold")).alias("is_cut"),
     )
 
 

@@ -70,6 +70,21 @@ def test_packing(spark):
     assert len(_placed(same, packing.Limits(), group_items=100)) == 1000
 
 
+def test_items_that_fill_no_bin_stay_in_many_tasks(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    plain = packing.pack
+
+    def counted(sizes, limits):
+        assert len(sizes) < 200
+        seen.add(1)
+        return plain(sizes, limits)
+
+    monkeypatch.setattr(packing, "pack", counted)
+    df = spark.createDataFrame([(i, 1100 if i % 10 else 30) for i in range(3000)], "doc_id long, n_tokens long")
+    out = _placed(df, packing.Limits(), group_items=100)
+    assert len(out) == 3000 and out.container.nunique() == 2700 and out.groupby("container").n_tokens.sum().max() <= 2048
+
+
 def _plain_distance(a, b):
     seen, d, far = {}, {}, len(a) + len(b)
     d[-1, -1] = far
@@ -327,6 +342,20 @@ def test_truncation(spark):
     assert truncation.truncated(df.where("false")).count() == 0
 
 
+def test_truncation_filter_in_passes_and_valleys(spark, monkeypatch):
+    docs = [(i, f"the report of day {i % 7} ends here" + ("." if i % 9 else ""), "en", "s") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    one = {r.doc_id: round(r.log_odds, 6) for r in truncation.truncated(df).collect()}
+    monkeypatch.setattr(truncation, "FILTER_BITS", 9)
+    assert {r.doc_id: round(r.log_odds, 6) for r in truncation.truncated(df).collect()} == one
+    heights = np.zeros(180)
+    heights[[20, 21, 22]], heights[[60, 61, 62]], heights[100] = (5, 40, 5), (50, 400, 50), 300
+    assert 25 < truncation.valley(heights) <= 59
+    heights[:30] = 0
+    heights[5] = 1
+    assert truncation.valley(heights) is None and truncation.valley(np.zeros(180)) is None
+
+
 def test_context_hashes_do_not_depend_on_neighbours():
     one = {j: h[last[-1]] for j, h, last in truncation.contexts(["short.", "and then the rain came."])}
     two = {j: h[last[0]] for j, h, last in truncation.contexts(["and then the rain came."])}
