@@ -16,8 +16,10 @@ from deuceframe.sources.tables import table
 
 #: A word in so many titles of the catalogue, or this share of them, names no event ("open", "cup").
 GENERIC_TITLES, GENERIC_SHARE = 3, 0.02
-#: Edits allowed by the length of the text.
-LIMITS = ((12, 3), (7, 2), (5, 1), (4, 0))
+#: Edits allowed by the length of the text, and the letters from which a word of a title names an event by itself (whole
+#: titles and cities do at any length).
+LIMITS = ((12, 3), (7, 2), (5, 1), (1, 0))
+WORD_LETTERS = 4
 #: Points of an exact find, and what an edit takes off: a name of the event itself, and its city.
 NAME_POINTS, CITY_POINTS = (10, 3), (6, 2)
 #: Copies of the finds for joining them to the values, so that a common value does not go to one task.
@@ -50,7 +52,7 @@ def variants(values: pd.Series) -> pd.Series:
             out.update(dict.fromkeys(words))
             out.update(dict.fromkeys(a + b for a, b in zip(words, words[1:], strict=False)))
             out[("".join(words))] = None
-        return [v for v in out if len(v) >= LIMITS[-1][0]]
+        return [v for v in out if v]
 
     return values.map(of)
 
@@ -65,8 +67,8 @@ def edit_limit(text: Column) -> Column:
 def catalogue_entries(catalogue: DataFrame) -> DataFrame:
     """(entry, event_id, is_name, is_base): the texts by which each event can be found.
 
-    Names are the words of the titles that are not generic and not the city, and whole titles run together; a title that
-    consists of its city and generic words is a name only as a whole. is_base: not a second event of its city.
+    Names are the words of the titles that are neither generic nor short nor the city, and whole titles run together; a
+    title that consists of its city and such words is a name only as a whole. is_base: not a second event of its city.
     """
     events = catalogue.select(
         "event_id",
@@ -83,7 +85,7 @@ def catalogue_entries(catalogue: DataFrame) -> DataFrame:
     generic = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= enough).select("word")
     # a word is generic by a share of all titles, so there are at most words-per-title / GENERIC_SHARE of them
     own = words.join(F.broadcast(generic), "word", "left_anti").where(
-        "city is null or not array_contains(split(city, ' '), word)"
+        f"length(word) >= {WORD_LETTERS} and (city is null or not array_contains(split(city, ' '), word))"
     )
     no, yes = F.lit(False), F.lit(True)
     return (
@@ -94,7 +96,7 @@ def catalogue_entries(catalogue: DataFrame) -> DataFrame:
         .unionByName(
             events.select(F.regexp_replace("city", " ", "").alias("entry"), "event_id", no.alias("is_name"), "is_base")
         )
-        .where(f"length(entry) >= {LIMITS[-1][0]}")
+        .where("length(entry) > 0")
         .distinct()
     )
 

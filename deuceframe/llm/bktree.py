@@ -7,10 +7,12 @@ characters: only so does the triangle inequality hold, by which the tree leaves
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +131,11 @@ def _search(tree: BKTree, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"text": pdf.text.to_numpy()[words], "entry": names[entries], "distance": d.astype(np.int32)})
 
 
+def _built(key: tuple, t: pa.Table) -> pa.Table:
+    tree = pickle.dumps(BKTree(t.column("entry").to_pylist()))
+    return pa.table({"length": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([tree], pa.binary())})
+
+
 def within_distance(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(text, entry, distance): for each distinct value every reference entry within its own limit.
 
@@ -136,8 +143,9 @@ def within_distance(values: DataFrame, reference: DataFrame, shard_entries: int
     and entries are left out; an empty text is within its limit of entries no longer than it. Values without any entry
     give no row, and neither does anything if the reference is empty. A text of any length is compared whole.
 
-    Few entries (their number is checked) make one tree that is broadcast. More are split into shards by a hash; every
-    value is looked up in every shard, in slices, and all the shards' finds together are the result.
+    Few entries (their number is checked) make one tree that is broadcast. More are split into shards by their length and a
+    hash. Each shard's tree is built once; a value is looked up in the shards of the lengths that its limit allows, in
+    slices, and all the shards' finds together are the result.
     """
     asked = values.where("text is not null and max_distance is not null").groupBy("text").agg(
         F.max("max_distance").cast("int").alias("max_distance")
@@ -155,17 +163,26 @@ def within_distance(values: DataFrame, reference: DataFrame, shard_entries: int
         # the shuffle of the distinct texts may come in one small partition, whose work is large
         parts = values.sparkSession.sparkContext.defaultParallelism
         return asked.repartition(max(parts, 1), "text").mapInPandas(look_up, SCHEMA)
-    shards = -(-total // shard_entries)
-    sharded = entries.withColumn("shard", F.pmod(F.xxhash64("entry"), F.lit(shards)).cast("int"))
+    # shards hold entries of one length: a value is asked for only where its length may be within its limit
+    sized = entries.withColumn("length", F.length("entry"))
+    parts = sized.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / shard_entries).cast("int").alias("parts"))  # a row a length
+    sharded = sized.join(parts, "length").withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
     slices = values.sparkSession.sparkContext.defaultParallelism
-    every = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn(
+    built = sharded.select("length", "part", "entry").groupBy("length", "part").applyInArrow(_built, "length int, part int, tree binary")
+    spread = built.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    near = F.sequence(F.greatest(F.length("text") - F.col("max_distance"), F.lit(0)), F.length("text") + F.col("max_distance"))
+    every = asked.where("max_distance >= 0").withColumn("length", F.explode(near)).join(parts, "length")
+    every = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
         "slice", F.pmod(F.xxhash64("text"), F.lit(slices)).cast("int")
     )
-    spread = sharded.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    keys = ["length", "part", "slice"]
 
-    def look_up_shard(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"text": [], "entry": [], "distance": pd.Series([], dtype="int32")})
-        return _search(BKTree(list(right.entry)), left)
+    def look_up_shard(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = pd.DataFrame({"text": [], "entry": [], "distance": []})
+        if len(left) and len(right):
+            asked = pd.DataFrame({c: left.column(c).to_pylist() for c in ("text", "max_distance")})
+            found = _search(pickle.loads(right.column("tree")[0].as_py()), asked)
+        kinds = {"text": pa.string(), "entry": pa.string(), "distance": pa.int32()}
+        return pa.table({c: pa.array(found[c].tolist(), k) for c, k in kinds.items()})
 
-    return every.groupBy("shard", "slice").cogroup(spread.groupBy("shard", "slice")).applyInPandas(look_up_shard, SCHEMA)
+    return every.select("text", "max_distance", *keys).groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(look_up_shard, SCHEMA)

@@ -45,6 +45,7 @@ def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
         F.round("deviation", 4).alias("deviation"),
         F.round("strength", 4).alias("strength"),
         "comparable",
+        "settled",
         "place",
     )
 

@@ -26,14 +26,14 @@ BROADCAST_ITEMS = 200_000
 @dataclass(frozen=True)
 class Skill:
     """Prior mean and deviation of a skill, deviation of a performance, and when sweeps end: once no mean moves by
-    `tolerance` of its own deviation, or after so many sweeps."""
+    `tolerance` of its own deviation, or after so many sweeps (items that still move are then marked as unsettled)."""
 
     mean: float = 25.0
     deviation: float = 25.0 / 3
     performance: float = 25.0 / 6
     damping: float = 0.7
     tolerance: float = 0.05
-    sweeps: int = 40
+    sweeps: int = 400
 
 
 def _ratio(t: str) -> str:
@@ -94,7 +94,7 @@ def _sweep(edges: DataFrame, states: DataFrame, small: bool, skill: Skill, first
         f"""select board, item, wins, losses, {mean} mean, {variance} variance, forward or f forward, backward or b backward,
         -- an unassigned item that beat nobody, or lost to nobody, of the unassigned is a part of its own
         case when part is not null then part when not (o and i) then item end part,
-        {moved} moved, (not forward and f) or (not backward and b) marked, part is null and not (o and i) single
+        {f"{moved} < {skill.tolerance}D" if beliefs else "settled"} settled, {moved} moved, (not forward and f) or (not backward and b) marked, part is null and not (o and i) single
         from ({new})""",
         edges=edges,
         states=states,
@@ -106,19 +106,20 @@ def _start_marks(states: DataFrame) -> DataFrame:
     start = states.where("part is null").groupBy("board").agg(
         F.max(F.struct((F.col("wins") * F.col("losses")).alias("score"), (-F.col("item")).alias("item"))).alias("s")
     )
-    at = states.join(F.broadcast(start.select("board", (-F.col("s.item")).alias("start"))), "board", "left")
+    at = states.join(start.select("board", (-F.col("s.item")).alias("start")), "board", "left")
     here = F.coalesce(F.col("part").isNull() & (F.col("item") == F.col("start")), F.lit(False))
     return at.withColumn("forward", here).withColumn("backward", here).drop("start")
 
 
 def gaussian_ranking(outcomes: DataFrame, skill: Skill = Skill()) -> DataFrame:
-    """(board, item, wins, losses, mean, deviation, strength, comparable, place) of every item with an outcome.
+    """(board, item, wins, losses, mean, deviation, strength, comparable, settled, place) of every item with an outcome.
 
     outcomes: board (any groups that are ranked apart), winner, loser (bigint); rows with a null in one of them, and
     those of an item against itself, are left out. Repeated rows are outcomes of their own. strength is the mean less
     three deviations. comparable: the item belongs to the board's largest set of items between any two of which chains
     of wins lead in both directions (of equal sets, the one with the smallest item). place ranks the comparable items
-    of a board by strength, equal strengths by item; others have none. An empty table gives an empty table.
+    of a board by strength, equal strengths by item; others have none. settled: the item's mean no longer moved when the
+    sweeps ended. An empty table gives an empty table.
 
     Equal pairs are counted before anything is shuffled, so a factor is a pair, not an outcome. Sweeps go on until the
     means have settled and no mark is new. Sets other than the first are only looked for while they could be
@@ -142,6 +143,7 @@ def gaussian_ranking(outcomes: DataFrame, skill: Skill = Skill()) -> DataFrame:
         F.lit(skill.mean).alias("mean"),
         F.lit(skill.deviation**2).alias("variance"),
         F.lit(None).cast("bigint").alias("part"),
+        F.lit(False).alias("settled"),
     )
     states = scratch.write(_start_marks(scratch.write(states, "items")), "states0")
     small = states.count() <= BROADCAST_ITEMS
@@ -162,7 +164,7 @@ def gaussian_ranking(outcomes: DataFrame, skill: Skill = Skill()) -> DataFrame:
         first = False
         part = F.col("forward") & F.col("backward") & F.col("part").isNull()
         smallest = states.where(part).groupBy("board").agg(F.min("item").alias("smallest"))
-        assigned = states.join(F.broadcast(smallest), "board", "left").withColumn(
+        assigned = states.join(smallest, "board", "left").withColumn(
             "part", F.when(part, F.col("smallest")).otherwise(F.col("part"))
         ).drop("smallest")
         number += 1
@@ -170,12 +172,11 @@ def gaussian_ranking(outcomes: DataFrame, skill: Skill = Skill()) -> DataFrame:
         sizes = assigned.where("part is not null").groupBy("board", "part").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("board").agg(F.max("size").alias("largest"))
         rest = assigned.where("part is null").groupBy("board").agg(F.count(F.lit(1)).alias("rest"))
-        open_boards = [r.board for r in rest.join(largest, "board", "left").where("rest >= coalesce(largest, 0)").collect()]
-        if not open_boards:
+        if rest.join(largest, "board", "left").where("rest >= coalesce(largest, 0)").isEmpty():
             break
         states = scratch.write(_start_marks(assigned.drop("moved", "marked", "single")), f"states{number}")
     best = sizes.groupBy("board").agg(F.max(F.struct("size", (-F.col("part")).alias("p"))).alias("s"))
-    ranked = assigned.join(F.broadcast(best.select("board", (-F.col("s.p")).alias("best"))), "board", "left")
+    ranked = assigned.join(best.select("board", (-F.col("s.p")).alias("best")), "board", "left")
     ranked = ranked.select(
         "board",
         "item",
@@ -185,9 +186,12 @@ def gaussian_ranking(outcomes: DataFrame, skill: Skill = Skill()) -> DataFrame:
         F.sqrt("variance").alias("deviation"),
         (F.col("mean") - 3 * F.sqrt("variance")).alias("strength"),
         F.coalesce(F.col("part") == F.col("best"), F.lit(False)).alias("comparable"),
+        "settled",
     )
     ranked = scratch.write(ranked, "ranked")
-    return ranked.join(_places(ranked.where("comparable"), scratch), ["board", "item"], "left")
+    placed = scratch.write(ranked.join(_places(ranked.where("comparable"), scratch), ["board", "item"], "left"), "placed")
+    scratch.keep_only("placed")
+    return placed
 
 
 def _places(ranked: DataFrame, scratch: Scratch) -> DataFrame:
@@ -199,6 +203,6 @@ def _places(ranked: DataFrame, scratch: Scratch) -> DataFrame:
     before = counts.select(  # a row for each task and board
         "task", "board", "first", F.expr("coalesce(sum(n) over (partition by board order by task rows between unbounded preceding and 1 preceding), 0)").alias("before")
     )
-    return numbered.withColumn("task", task).join(F.broadcast(before), ["task", "board"]).select(
+    return numbered.withColumn("task", task).join(before, ["task", "board"]).select(
         "board", "item", (F.col("before") + F.col("at") - F.col("first") + 1).alias("place")
     )

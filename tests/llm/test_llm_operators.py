@@ -2,6 +2,7 @@
 
 import base64
 import datetime as dt
+import math
 import random
 import string
 
@@ -120,13 +121,13 @@ def test_alias_mapping(spark):
     catalogue = spark.createDataFrame(
         [(1, "rovinje", "Rovinje Open", None, "Rovinje"), (2, "rovinje 2", "Copa Marlantis", "Torneo Rovinje", "Rovinje"), (3, "quelborg", "Quelborg Ladies Classic", None, "Quelborg")] + [(10 + i, f"zz{i}stadtqx", f"Zz{i}stadtqx {w}", None, f"Zz{i}stadtqx") for i in range(10) for w in ("Open", "Cup") if (i % 2) == (w == "Cup")],
         "event_id long, mirror_tourney_name_norm string, event_title string, event_past_title string, event_city string",
-    )
+    ).unionByName(spark.createDataFrame([(50, "rio", "Rio Open", None, "Rio"), (51, "pau", "Pau Ladies Cup", None, "Pau")], "event_id long, mirror_tourney_name_norm string, event_title string, event_past_title string, event_city string"))
     rows = spark.createDataFrame(
-        [(1, "ROVINJE", "Rovniej Open"), (2, None, "copa marlanits presented by X"), (3, "Rovinje 2", None), (4, "Qeulborg", "Foo Challenge"), (5, "Nowhereville", "Nowhereville Open"), (6, None, None), (7, "", "|/ "), (8, "x" * 50_000, "Quelborg")],
+        [(1, "ROVINJE", "Rovniej Open"), (2, None, "copa marlanits presented by X"), (3, "Rovinje 2", None), (4, "Qeulborg", "Foo Challenge"), (5, "Nowhereville", "Nowhereville Open"), (6, None, None), (7, "", "|/ "), (8, "x" * 50_000, "Quelborg"), (9, "Rio", None), (10, "PAU", "Cup"), (11, "Rioo", "Open")],
         "alias_id long, a string, b string",
     )
     got = {r.alias_id: r.event_id for r in map_values(rows, "alias_id", ["a", "b"], catalogue).collect()}
-    assert got == {1: 1, 2: 2, 3: 2, 4: 3, 5: None, 6: None, 7: None, 8: 3}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 3, 5: None, 6: None, 7: None, 8: 3, 9: 50, 10: 51, 11: None}
     assert {r.event_id for r in map_values(rows, "alias_id", ["a", "b"], catalogue.where("false")).collect()} == {None}
 
 
@@ -151,6 +152,44 @@ def test_ranking(spark):
     assert ranking.gaussian_ranking(df.where("false")).count() == 0
 
 
+def _sequential_inference(games, skill, rounds=200):
+    """Expectation propagation, one factor for each outcome, one after another until nothing moves."""
+    pdf, cdf = (lambda t: np.exp(-t * t / 2) / np.sqrt(2 * np.pi)), (lambda t: 0.5 * (1 + math.erf(t / np.sqrt(2))))
+    pi, tau = {}, {}
+    for i in {x for g in games for x in g}:
+        pi[i], tau[i] = 1 / skill.deviation**2, skill.mean / skill.deviation**2
+    sent = {(k, s): (0.0, 0.0) for k in range(len(games)) for s in (0, 1)}
+    for _ in range(rounds):
+        for k, g in enumerate(games):
+            p, t = zip(*((pi[x] - sent[k, s][0], tau[x] - sent[k, s][1]) for s, x in enumerate(g)), strict=True)
+            (mw, vw), (ml, vl) = ((t[s] / p[s], 1 / p[s]) for s in (0, 1))
+            c = np.sqrt(vw + vl + 2 * skill.performance**2)
+            d = (mw - ml) / c
+            v = pdf(d) / cdf(d)
+            w = v * (v + d)
+            for s, (m, q, sign) in enumerate(((mw, vw, 1), (ml, vl, -1))):
+                mean, var = m + sign * q / c * v, q * (1 - q / c**2 * w)
+                new = (1 / var - p[s], mean / var - t[s])
+                pi[g[s]], tau[g[s]] = p[s] + new[0], t[s] + new[1]
+                sent[k, s] = new
+    return {i: (tau[i] / pi[i], 1 / np.sqrt(pi[i])) for i in pi}
+
+
+def test_strengths_against_sequential_inference(spark):
+    rng = random.Random(12)
+    games = []
+    for _ in range(150):
+        a, b = rng.sample(range(15), 2)
+        games.append((a, b) if rng.random() < 1 / (1 + np.exp((b - a) / 4)) else (b, a))
+    skill = ranking.Skill(tolerance=1e-4)
+    want = _sequential_inference(games, skill)
+    out = ranking.gaussian_ranking(spark.createDataFrame([("x", *g) for g in games], "board string, winner long, loser long"), skill).toPandas().set_index("item")
+    assert out.settled.all() and set(out.index) == set(want)
+    assert max(abs(out["mean"][i] - m) for i, (m, _) in want.items()) < 0.05 and max(abs(out.deviation[i] - d) for i, (_, d) in want.items()) < 0.02
+    few = ranking.gaussian_ranking(spark.createDataFrame([("x", *g) for g in games], "board string, winner long, loser long"), ranking.Skill(tolerance=1e-9, sweeps=2)).toPandas()
+    assert not few.settled.all()  # what still moves says so
+
+
 def test_graph_recall_against_exhaustive_search():
     rng = np.random.default_rng(1)
     v = rng.normal(size=(3000, 10)).astype(np.float32)
