@@ -32,7 +32,7 @@ PAD = max(CHAR_ORDERS)
 SMOOTHING = (2.0, 4.0)
 #: Bits of the filter (of the contexts that end a text) for each such context, and at most (as powers of two). Beyond, the
 #: contexts are counted in several passes, each with a filter for its share of them.
-BITS_EACH, FILTER_BITS = 8, 27
+BITS_EACH, FILTER_BITS = 16, 28
 #: Contexts that end more than this share of the texts are joined by broadcast; there are at most N_ORDERS / share.
 HOT_SHARE = 1 / 2000
 #: What transport puts behind a cut: ellipses, "more" marks, broken characters, beginnings of entities and tags.
@@ -211,7 +211,7 @@ def _count_contexts(filter_bits: np.ndarray):
 
 
 def _filters(endings: DataFrame) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(bits, number of passes, pass): the filters of the contexts that end a text, one for each pass: at most 2 ** FILTER_BITS bits (16 MB) come to the
+    """(bits, number of passes, pass): the filters of the contexts that end a text, one for each pass: at most 2 ** FILTER_BITS bits (32 MB) come to the
     driver for each, whatever the number of texts, and at most one bit in BITS_EACH is set."""
     h = endings.select(F.explode(F.concat("ending", F.coalesce("bare", F.array()))).alias("h"))
     need = BITS_EACH * h.agg(F.approx_count_distinct("h").alias("n")).first().n
