@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ELO_SCALE = 400.0
-RD_MAX, RD_C2 = 350.0, 60.0
+RD_MAX, RD_C2 = 350.0, (350.0**2 - 50.0**2) / (3 * 365.0)
 #: The service-count identities; names as published (fixed values).
 COUNT_CHECKS = {
     "first_in_le_serve_points": lambda c: c("first_in") <= c("serve_points"),

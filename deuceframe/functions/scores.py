@@ -10,7 +10,7 @@ ROUND_SORT = {"Q1": 0, "Q2": 1, "Q3": 2, "Q4": 3, "ER": 4, "RR": 5, "R128": 6, "
 ROUND_DEPTH = {"Q1": -4, "Q2": -3, "Q3": -2, "Q4": -1, "ER": -1, "R128": 0, "R64": 1, "R32": 2, "R16": 3, "RR": 3, "QF": 4, "SF": 5, "BR": 6, "F": 6}
 #: Words of the rounds counted from the start of the draw (fixed values).
 EARLY_WORDS = ("1st Round", "2nd Round", "3rd Round", "4th Round")
-LATE_WORDS = {"QF": "Quarterfinals", "SF": "Semifinals", "F": "The Final"}
+LATE_WORDS = {"QF": "Quarterfinals", "SF": "Semifinals", "F": "The Final", "RR": "Round Robin"}
 SET_TOKEN = r"^\[?[0-9]+-[0-9]+\]?(\([0-9]+\))?[?]?$"
 
 
@@ -22,6 +22,7 @@ def lookup(value: Column, table: dict, default=None) -> Column:
 
 def score_status(score: Column) -> Column:
     """walkover, retired, defaulted, abandoned or completed, by the marks in the text; unknown without any set."""
+    score = F.regexp_replace(score, "&nbsp;", " ")
     words = F.transform(F.split(F.upper(F.trim(score)), r"\s+"), lambda w: F.rtrim(w, F.lit(".")))
     has = lambda *marks: F.arrays_overlap(words, F.array(*[F.lit(m) for m in marks]))
     sets = F.size(F.filter(F.split(F.trim(score), r"\s+"), lambda t: F.regexp_like(t, F.lit(SET_TOKEN))))
@@ -104,13 +105,32 @@ def winner_game_share(score: Column) -> Column:
 
 
 def round_word(round_code: Column, draw_size: Column) -> Column:
-    """The word of a round counted from the start of the draw: R16 of a draw of 32 is the 2nd Round."""
+    """The word of a round counted from the start of the draw, whose first round has a power of two of places, byes
+    included: R16 of a draw of 28 or 32 is the 2nd Round."""
     size = F.regexp_extract(round_code, "^R([0-9]+)$", 1)
-    out = lookup(round_code, LATE_WORDS)
     n = F.when(size != "", size.cast("int"))
-    for i, word in enumerate(EARLY_WORDS):
-        out = F.coalesce(out, F.when(F.shiftright(draw_size.cast("int"), i) == n, word))
-    return out
+    full = F.when(draw_size < 1, None)
+    for places in (1, 2, 4, 8, 16, 32, 64, 128, 256):
+        full = full.when(draw_size <= places, places)
+    early = [F.when(F.shiftright(full, i) == n, word) for i, word in enumerate(EARLY_WORDS)]
+    return F.coalesce(lookup(round_code, LATE_WORDS), *early)
+
+
+def sets_text(score: Column) -> Column:
+    """The games of the sets as x-y, in order: what two sources must agree on, tiebreaks and marks left out."""
+    return F.array_join(F.transform(score_sets(score), lambda s: F.concat_ws("-", s.x, s.y)), " ")
+
+
+def normal_score(text: Column) -> Column:
+    """An archive's form of a score in free text: plain hyphens, one blank between sets, tiebreaks in round brackets, no
+    sets without games, RET and W/O for the words of a retirement or walkover; an empty text is null."""
+    plain = F.regexp_replace(F.translate(F.regexp_replace(text, "&nbsp;|\u00a0", " "), "\u2010\u2011\u2012\u2013\u2014\u2212", "------"), r"\s*-\s*", "-")
+    low = F.regexp_replace(plain, r"(?i)\b(retired|ret'd|ret)\b\.?", "RET")
+    low = F.regexp_replace(low, r"(?i)\b(walkover|w/o|wo)\b\.?", "W/O")
+    low = F.regexp_replace(low, r"[,;]", " ")
+    low = F.regexp_replace(low, r"(^|\s)0-0(?=\s|$)", " ")
+    out = F.trim(F.regexp_replace(low, r"\s+", " "))
+    return F.when(out != "", out)
 
 
 def entry_code(value: Column) -> Column:

@@ -183,7 +183,7 @@ def _case(value: str, table_: dict, default: str = "null") -> str:
     return f"case {value} " + " ".join(f"when '{k}' then {v!r}" for k, v in table_.items()) + f" else {default} end"
 
 
-_EARLY = " ".join(f"when regexp_matches(round, '^R[0-9]+$') and (draw_size >> {i}) = try_cast(substr(round, 2) as int) then '{w}'" for i, w in enumerate(EARLY_WORDS))
+_EARLY = " ".join(f"when regexp_matches(round, '^R[0-9]+$') and ((2 ** ceil(log2(draw_size)))::int >> {i}) = try_cast(substr(round, 2) as int) then '{w}'" for i, w in enumerate(EARLY_WORDS))
 
 QUERIES = {
     "st5_parsed_scores": parsed_scores,
@@ -224,7 +224,7 @@ SQL = {
     "pf1_oriented_matches": """select source_key, least(winner_id, loser_id) player_a, greatest(winner_id, loser_id) player_b, winner_id < loser_id a_won,
         case when winner_id < loser_id then winner_name else loser_name end name_a, case when winner_id < loser_id then loser_ioc else winner_ioc end ioc_b,
         try_strptime(tourney_date, '%Y%m%d')::date anchor, date_trunc('week', try_strptime(tourney_date, '%Y%m%d'))::date "week" from raw_matches""",
-    "st12_market_rounds": f"""select source_key, case round when 'QF' then 'Quarterfinals' when 'SF' then 'Semifinals' when 'F' then 'The Final'
+    "st12_market_rounds": f"""select source_key, case round when 'QF' then 'Quarterfinals' when 'SF' then 'Semifinals' when 'F' then 'The Final' when 'RR' then 'Round Robin'
         else case {_EARLY} end end word, {_case('round', ROUND_SORT, '99')} sort_order, {_case('round', ROUND_DEPTH)} depth from raw_matches""",
     "st1_folded_names": r"""with t as (select market_row_id, trim(regexp_replace(lower(strip_accents(market_winner_name)), '[^a-z0-9]+', ' ', 'g')) plain,
         trim(market_winner_name) n, regexp_matches(trim(market_winner_name), '^(.*?)\s+((?:[^\s.]{1,2}\.)+)$') ok from market_rows)
@@ -252,7 +252,7 @@ SQL = {
         when psw <= 1 or psl <= 1 then 'invalid' else 'valid' end quality from q""",
     "ma6_serve_model": f"""with {CONTESTS_SQL}, x as (select match_id, best_of, (a_first_won + a_second_won)::double / a_serve_points p from c where a_serve_points > 0)
       select match_id, round(pow(p, 4) * (1 + 4 * (1 - p) + 10 * (1 - p) * (1 - p)) + 20 * pow(p * (1 - p), 3) * p * p / (1 - 2 * p * (1 - p)), 8) hold,
-        round(1 / (1 + pow(10, -p * 100 / 400)), 8) elo, round(least(350, sqrt(3600 + 60.0::double * best_of * 100)), 6) rd from x""",
+        round(1 / (1 + pow(10, -p * 100 / 400)), 8) elo, round(least(350, sqrt(3600 + (122500 - 2500)::double / 1095 * best_of * 100)), 6) rd from x""",
     "ma10_rank_forecasts": """select effective_date, player_id, round(case when min(raw_rank) > 0 then 1 / (1 + exp(-ln((min(raw_rank) + 10) / min(raw_rank)::double))) else 0.5 end, 8)::double p
       from rankings group by 1, 2""",
     "ma15_entries": f"""with {CONTESTS_SQL}, x as (select calendar_year, tourney_level, (upper(trim(entry_a)) = 'Q')::int a, (upper(trim(entry_b)) = 'Q')::int b from c)

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deuceframe.functions.numbers import logit, match_probability
-from deuceframe.functions.scores import winner_game_share
+from deuceframe.functions.numbers import logit
 from deuceframe.operators.evaluation import (
     block_bootstrap, equal_year_slope, identical_population, ladder, log_loss, pool, pooled, reliability, select_within, swap_symmetric_predictions,
     yearly_models,
 )
-from deuceframe.operators.folds import ordered_fold, pooled_elo, rating_suite, sequential_ratings, serve_filter
 from deuceframe.operators.models import fit_trees, symmetric_forecast
 from deuceframe.plans.contests import CONTESTS_SQL, contests
+from deuceframe.plans.ratings import elo_forecasts, elo_sql
 from deuceframe.sources.tables import table
 
-FOLD_COLUMNS = ("match_id", "match_date", "calendar_year", "player_a", "player_b", "surface", "a_won", "tourney_level")
 #: Four forecasters that need no state: a constant, the stored price, a shrunken price and serve shares of the match.
 MODELS = ["half", "price", "shrunk"]
 
@@ -90,60 +88,13 @@ def pooled_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("match_id", F.round(pool(parts, {"price": 0.7, "serve": 0.3}), 8).alias("pooled"))
 
 
-def _fold_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return contests(spark, folder, *FOLD_COLUMNS).where("player_a is not null and player_b is not null").withColumn("tour", F.lit("all"))
-
-
-def elo_forecasts(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _fold_rows(spark, folder).select("tour", "match_id", "day", "player_a", "player_b", "surface", "a_won")
-    return ordered_fold(rows, ["tour"], ["day", "match_id"], pooled_elo, "match_id string, p_overall double, p_surface double, p double")
-
-
-def game_shares(rows: DataFrame, raw: DataFrame) -> DataFrame:
-    """rows with game_share: the winner's share of games by the archive score of the same tourney, round, players and
-    winner; null where there is none, or several that differ."""
-    key = ["tourney_id", "round", "low", "high", "winner"]
-    scores = raw.select(
-        "tourney_id", "round", F.least("winner_id", "loser_id").alias("low"), F.greatest("winner_id", "loser_id").alias("high"),
-        F.col("winner_id").alias("winner"), winner_game_share(F.col("score")).alias("share"),
-    ).groupBy(*key).agg(F.when(F.min("share") == F.max("share"), F.max("share")).alias("game_share"))
-    sides = rows.withColumn("low", F.least("player_a", "player_b")).withColumn("high", F.greatest("player_a", "player_b"))
-    won = F.when(F.col("a_won"), F.col("player_a")).when(~F.col("a_won"), F.col("player_b"))
-    return sides.withColumn("winner", won).join(scores, key, "left").drop("low", "high", "winner")
-
-
-def suite_forecasts(spark: SparkSession, folder: str) -> DataFrame:
-    c = contests(spark, folder, *FOLD_COLUMNS, "tourney_id", "round").where("player_a is not null and player_b is not null")
-    shared = game_shares(c.withColumn("tour", F.lit("all")), table(spark, folder, "raw_matches"))
-    rows = shared.select("tour", "match_id", "day", "player_a", "player_b", "surface", "a_won", "tourney_level", "game_share")
-    return ordered_fold(rows, ["tour"], ["day", "match_id"], rating_suite, "match_id string, fixed_k double, decaying_k double, games_weighted double, surface_mix double")
-
-
-def deviation_ratings(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _fold_rows(spark, folder).select("tour", "match_id", "day", "player_a", "player_b", "a_won", "tourney_level")
-    return ordered_fold(rows, ["tour"], ["day", "match_id"], sequential_ratings, "match_id string, elo_a double, elo_b double, rd_a double, rd_b double")
-
-
-def serve_forecasts(spark: SparkSession, folder: str) -> DataFrame:
-    """Filtered point probabilities and the match probability that follows from them."""
-    c = contests(spark, folder).where("player_a is not null and player_b is not null")
-    rows = c.select(
-        F.lit("all").alias("tour"), "match_id", "day", "player_a", "player_b", "best_of",
-        (F.col("a_first_won") + F.col("a_second_won")).cast("double").alias("a_spw"), F.col("a_serve_points").cast("double").alias("a_sp"),
-        (F.col("b_first_won") + F.col("b_second_won")).cast("double").alias("b_spw"), F.col("b_serve_points").cast("double").alias("b_sp"),
-    )
-    points = ordered_fold(rows, ["tour"], ["day", "match_id"], serve_filter, "match_id string, point_a double, point_b double")
-    both = points.join(rows.select("match_id", "best_of"), "match_id")
-    return both.select("match_id", "point_a", "point_b", match_probability("point_a", "point_b", F.col("best_of")).alias("p"))
-
-
 def rated_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: ratings, the stored price and a constant on identical matches, per year."""
     c = contests(spark, folder).where("a_won is not null and identity_tier = 'primary'").select("match_id", "calendar_year", F.col("a_won").cast("int").alias("y"), "p")
     price = c.where("p is not null").select("match_id", "p")
     both = identical_population({"elo": elo_forecasts(spark, folder), "price": price, "half": c.select("match_id", F.lit(0.5).alias("p"))}, "match_id")
     out = ladder(both.join(c.select("match_id", "calendar_year", "y"), "match_id"), ["elo", "price", "half"], "calendar_year", F.col("y"))
-    return out.select("year", "model", "n", "log_loss", "brier", "accuracy")
+    return out.select("year", "model", "n", *[F.round(c, 7).alias(c) for c in ("log_loss", "brier", "accuracy")])
 
 
 def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
@@ -217,10 +168,14 @@ _LONG = f"""{_SCORED}, m as (select calendar_year, y, unnest([struct_pack(model
 QUERIES = {
     "rs4_rated_ladder": rated_ladder, "ag3_ladder_years": ladder_years, "ag2_ladder_pooled": ladder_pooled, "ag6_contrasts": contrasts,
     "ag4_reliability": reliability_bins, "ag16_calibration_weights": calibration_weights, "ag12_dispersion": dispersion, "so3_selected_candidates": selected_candidates,
-    "ml8_pooled_forecasts": pooled_forecasts, "fo2_elo_forecasts": elo_forecasts, "fo8_suite_forecasts": suite_forecasts, "fo4_deviation_ratings": deviation_ratings,
-    "fo6_serve_forecasts": serve_forecasts, "rs2_bootstrap_interval": bootstrap_interval, "ml1_walk_forward": walk_forward, "ml3_tree_forecasts": tree_forecasts,
+    "ml8_pooled_forecasts": pooled_forecasts,
+    "rs2_bootstrap_interval": bootstrap_interval, "ml1_walk_forward": walk_forward, "ml3_tree_forecasts": tree_forecasts,
 }
 SQL = {
+    "rs4_rated_ladder": f"""{elo_sql()}, e as (select match_id, calendar_year, a_won::int y, p price, round((po + ps) / 2, 6) elo from z where a_won is not null and identity_tier = 'primary' and p is not null),
+      m as (select calendar_year, y, unnest([struct_pack(model := 'elo', p := elo), struct_pack(model := 'price', p := price), struct_pack(model := 'half', p := 0.5::double)], recursive := true) from e)
+      select calendar_year "year", model, count(*) n, round(avg({_ll('p')}), 7) log_loss, round(avg((p - y) * (p - y)), 7) brier,
+      round(avg(case when p = 0.5 then 0.5::double else ((p > 0.5) = (y = 1))::int::double end), 7) accuracy from m group by all""",
     "ag3_ladder_years": f"""{_LONG} select calendar_year "year", model, count(*) n, sum((p < 1e-6 or p > 1 - 1e-6)::int)::bigint clips, round(avg(loss), 8) log_loss, round(avg((p - y) * (p - y)), 8) brier,
       round(avg(case when p = 0.5 then 0.5::double else ((p > 0.5) = (y = 1))::int::double end), 8) accuracy from l group by all""",
     "ag2_ladder_pooled": f"""{_LONG}, a as (select calendar_year, model, count(*) n, sum(loss) s from l group by all)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from deuceframe.plans import audits, cleaning, evaluation, histories, linking, live
+from deuceframe.plans import audits, cleaning, evaluation, histories, linking, live, ratings
 
-_MODULES = (audits, cleaning, evaluation, histories, linking, live)
+_MODULES = (audits, cleaning, evaluation, histories, linking, live, ratings)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}

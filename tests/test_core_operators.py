@@ -13,7 +13,7 @@ from deuceframe.functions import numbers as N
 from deuceframe.functions.names import full_name_signatures, plain_name, surname_signature, without_disambiguator
 from deuceframe.functions.scores import round_word, score_status, score_totals, winner_game_share
 from deuceframe.operators.evaluation import block_bootstrap, equal_year_slope, fit_ridge_logistic, pool, reliability, select_within
-from deuceframe.operators.folds import ordered_fold, pooled_elo, rating_suite, sequential_ratings, serve_filter
+from deuceframe.operators.folds import ELO_SCHEMA, RD_GROWTH, AllTierRatings, FilterSettings, PooledElo, RatingSuite, ServeFilter, ordered_fold
 from deuceframe.operators.known_at import attributes_as_known, change_history, newest_edition_by_day
 from deuceframe.operators.lagged import decayed_sum, form_over_last, released
 from deuceframe.operators.linking import cascade, components, guarded_patch, merge_with_precedence, residual_similarity, snapshot_diff, sole_claimants, unique_pairs
@@ -144,7 +144,7 @@ def _matches(n=240, seed=5):
 
 def test_pooled_elo_against_plain_python(spark):
     pdf = _matches()
-    got = pooled_elo(pdf).set_index("match_id")
+    got = PooledElo().feed(pdf).set_index("match_id")
     for target in pdf.itertuples():
         if target.Index % 17:
             continue
@@ -158,7 +158,7 @@ def test_pooled_elo_against_plain_python(spark):
                 c = 32 * (r.a_won - p(o.get(r.player_a, 1500), o.get(r.player_b, 1500)))
                 for k, v in ((r.player_a, c), (r.player_b, -c)):
                     do[k] = do.get(k, 0) + v
-                if r.surface != "Carpet":
+                if r.surface is not None:
                     c = 32 * (r.a_won - p(s.get((r.player_a, r.surface), 1500), s.get((r.player_b, r.surface), 1500)))
                     for k, v in (((r.player_a, r.surface), c), ((r.player_b, r.surface), -c)):
                         ds[k] = ds.get(k, 0) + v
@@ -167,31 +167,75 @@ def test_pooled_elo_against_plain_python(spark):
                     state[k] = state.get(k, 1500) + v
         assert got.p_overall[target.match_id] == pytest.approx(p(o.get(target.player_a, 1500), o.get(target.player_b, 1500)))
     df = spark.createDataFrame(pdf.astype({"a_won": "object"})).withColumn("tour", F.lit("t"))
-    folded = ordered_fold(df, ["tour"], ["day", "match_id"], pooled_elo, "match_id string, p_overall double, p_surface double, p double").toPandas().set_index("match_id")
+    folded = ordered_fold(df, ["tour"], ["day", "match_id"], lambda key: PooledElo(), ELO_SCHEMA).toPandas().set_index("match_id")
     assert np.allclose(folded.p.sort_index(), got.p.sort_index())
 
 
+def _tiered(rows):
+    columns = ["match_id", "day", "player_a", "player_b", "a_won", "surface", "tier", "status", "counted", "a_spw", "a_sp", "b_spw", "b_sp"]
+    return pd.DataFrame(rows, columns=columns)
+
+
+def _row(i, day, a=1, b=2, won=True, surface="Hard", tier="tour", status="completed", counts=(62.0, 100.0, 60.0, 100.0)):
+    return (f"m{i}", day, a, b, won, surface, tier, status, counts is not None, *(counts or (np.nan,) * 4))
+
+
 def test_future_and_own_outcomes_do_not_matter():
     """Flipping a match's own outcome, or deleting later ones, leaves its forecast as it is; earlier ones matter."""
-    pdf = _matches()
-    pdf["game_share"] = None
-    for fold, column in ((pooled_elo, "p"), (rating_suite, "surface_mix"), (sequential_ratings, "elo_a")):
-        base = fold(pdf).set_index("match_id")[column]
+    pdf = _matches().sort_values(["day", "match_id"]).reset_index(drop=True)
+    pdf["game_share"], pdf["tier"], pdf["status"], pdf["counted"] = None, "tour", "completed", False
+    for column in ("a_spw", "a_sp", "b_spw", "b_sp"):
+        pdf[column] = np.nan
+    for start, column in ((PooledElo, "p"), (RatingSuite, "surface_mix"), (AllTierRatings, "elo_a")):
+        values = lambda x, start=start, column=column: start().feed(x).set_index("match_id")[column]
+        base = values(pdf)
         at = pdf.index[150]
         flipped = pdf.copy()
-        flipped.loc[at:, "a_won"] = ~flipped.loc[at:, "a_won"].fillna(True).astype(bool)
+        flipped.loc[at:, "a_won"] = [not v for v in flipped.a_won[at:]]
         early = pdf.match_id[pdf.day <= pdf.day[at]]
-        assert np.allclose(base[early], fold(flipped).set_index("match_id")[column][early])
+        assert np.allclose(base[early], values(flipped)[early])
         changed = pdf.copy()
         changed.loc[:40, "a_won"] = True
-        assert not np.allclose(base, fold(changed).set_index("match_id")[column])
-
-
-def test_serve_filter_learns():
-    rows = [(f"m{i:03d}", i * 3, 1, 2, 70.0, 100.0, 55.0, 100.0) for i in range(60)]
-    pdf = pd.DataFrame(rows, columns=["match_id", "day", "player_a", "player_b", "a_spw", "a_sp", "b_spw", "b_sp"])
-    out = serve_filter(pdf)
-    assert out.point_a.iloc[0] == pytest.approx(0.62) and abs(out.point_a.iloc[-1] - 0.70) < 0.02 and abs(out.point_b.iloc[-1] - 0.55) < 0.02
+        assert not np.allclose(base, values(changed))
+
+
+def test_all_tier_ratings():
+    fold = AllTierRatings().feed
+    out = fold(_tiered([_row(1, 0, 1, 2, tier="futures"), _row(2, 1, 1, 3, tier="tour"), _row(3, 2, 1, 2, status="walkover"), _row(4, 5, 1, 2), _row(5, 5, 3, 4, tier="challenger")])).set_index("match_id")
+    assert out.elo_a["m1"] == 1300 and out.elo_b["m2"] == 1500 and out.elo_a["m5"] > 1500 - 32 and out.elo_b["m5"] == 1400  # the tier of the first row read
+    assert out.elo_a["m2"] == 1300  # a row is released two days later
+    assert out.elo_a["m3"] == pytest.approx(1300 + 0.6 * 16) and out.tour_a["m3"] == 1500
+    # the tour row of day 1 (a win over 1500) moved both; the walkover of day 2 moved nothing
+    gain = 32 * (1 - 1 / (1 + 10 ** ((1500 - 1309.6) / 400)))
+    assert out.elo_a["m4"] == pytest.approx(1309.6 + gain) and out.elo_b["m4"] == pytest.approx(1300 - 9.6) and out.tour_a["m4"] == 1516
+    q = np.log(10) / 400
+    g = 1 / np.sqrt(1 + 3 * (q * 350 / np.pi) ** 2)
+    rd = 1 / np.sqrt(1 / 350**2 + (q * g) ** 2 * 0.25)
+    assert out.rd_a["m3"] == pytest.approx(np.sqrt(rd**2 + RD_GROWTH * 2)) and RD_GROWTH == pytest.approx(109.589, abs=1e-3)
+    assert out.serve_a["m3"] == pytest.approx(0.002 * (62 - 100 * 0.62)) and out.serve_b["m3"] == pytest.approx(0.002 * (60 - 100 * 0.62))
+    assert fold(_tiered([_row(9, 9, won=None, status="unresolved", counts=None)])).elo_a.notna().all()
+
+
+def test_serve_filter():
+    learn = [_row(i, 3 * i, counts=(70.0, 100.0, 55.0, 100.0)) for i in range(60)]
+    out = ServeFilter(FilterSettings(intercept_rate=0.001)).feed(_tiered(learn))
+    point = 1 / (1 + np.exp(-out[["eta_a", "eta_b"]]))
+    assert point.eta_a[0] == pytest.approx(0.62) and abs(point.eta_a.iloc[-1] - 0.70) < 0.02 and abs(point.eta_b.iloc[-1] - 0.55) < 0.02
+    # both directions start from the state before the row: interchanging the sides interchanges the values
+    rows = [_row(1, 0, counts=(70.0, 100.0, 55.0, 90.0)), _row(2, 3)]
+    turned = [_row(1, 0, 2, 1, False, counts=(55.0, 90.0, 70.0, 100.0)), _row(2, 3, 2, 1)]
+    x, y = (ServeFilter().feed(_tiered(r)).iloc[1] for r in (rows, turned))
+    assert x.eta_a == pytest.approx(y.eta_b) and x.variance_b == pytest.approx(y.variance_a) and x.serve_a == pytest.approx(y.serve_b)
+    # one step by hand, without surface deviations
+    s = FilterSettings(surface_variance=0.0, growth=0.0, intercept_rate=0.0)
+    z = ServeFilter(s).feed(_tiered(rows)).iloc[1]
+    g, i = 70 - 62.0, 100 * 0.62 * 0.38
+    assert z.serve_a == pytest.approx(0.05 * g / (1 + i * 0.1)) and z.return_b == pytest.approx(-z.serve_a)
+    # a deviation acts on its surface only; lower tiers count less; another surface reads its own intercept
+    on = lambda surface, tier="tour", first="tour": ServeFilter().feed(_tiered([_row(1, 0, tier=first, counts=(80.0, 100.0, 50.0, 100.0)), _row(2, 3, surface=surface, tier=tier)])).iloc[1]
+    assert on("Hard").eta_a > on("Clay").eta_a and on("Hard").serve_a == on("Clay").serve_a
+    assert abs(on("Hard", "tour", "futures").serve_a) < abs(on("Hard").serve_a)
+    assert on("Hard", "futures").eta_a == on("Hard").eta_a  # not updated yet: the tour's intercept
 
 
 def test_evaluation(spark):
