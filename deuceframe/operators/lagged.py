@@ -25,14 +25,17 @@ def decayed_sum(value: Column, keys: list[str], half_life: float, origin: int, l
     return F.coalesce(F.sum(value * weight).over(released(keys, None, lag, day)), F.lit(0.0)) / weight
 
 
-def daily_history(rows: DataFrame, keys: list[str], measures: dict[str, Column], day: str = "day") -> DataFrame:
-    """Running totals by key and active day: a row per key and day with `<m>` totals through that day and `n_rows`.
+def by_day(rows: DataFrame, keys: list[str], measures: dict[str, Column], features: dict[str, Column]) -> DataFrame:
+    """rows with `features`, windows over a row per key and day that holds the sums of `measures`.
 
-    Reduced to a row per key and day before the window, so that a key with very many rows is no larger than a calendar.
+    However many rows a key has, its window is no longer than the calendar. Null keys form a group of their own.
     """
-    daily = rows.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).alias(m) for m, c in measures.items()])
-    run = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    return daily.select(*keys, day, *[F.sum(m).over(run).alias(m) for m in ("n_rows", *measures)])
+    days = rows.groupBy(*keys, "day").agg(*[F.sum(c).alias(m) for m, c in measures.items()])
+    seen = days.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("day").alias("_day"), *[c.alias(n) for n, c in features.items()])
+    on = F.col("day") == F.col("_day")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(seen, on, "left").drop("_day", *[f"_{k}" for k in keys])
 
 
 def form_over_last(rows: DataFrame, keys: list[str], order: list[str], measures: dict[str, Column], k: int, lag: int = LAG) -> DataFrame:

@@ -173,9 +173,9 @@ QUERIES = {
 }
 SQL = {
     "rs4_rated_ladder": f"""{elo_sql()}, e as (select match_id, calendar_year, a_won::int y, p price, round((po + ps) / 2, 6) elo from z where a_won is not null and identity_tier = 'primary' and p is not null),
-      m as (select calendar_year, y, unnest([struct_pack(model := 'elo', p := elo), struct_pack(model := 'price', p := price), struct_pack(model := 'half', p := 0.5::double)], recursive := true) from e)
+      mm as (select calendar_year, y, unnest([struct_pack(model := 'elo', p := elo), struct_pack(model := 'price', p := price), struct_pack(model := 'half', p := 0.5::double)], recursive := true) from e)
       select calendar_year "year", model, count(*) n, round(avg({_ll('p')}), 7) log_loss, round(avg((p - y) * (p - y)), 7) brier,
-      round(avg(case when p = 0.5 then 0.5::double else ((p > 0.5) = (y = 1))::int::double end), 7) accuracy from m group by all""",
+      round(avg(case when p = 0.5 then 0.5::double else ((p > 0.5) = (y = 1))::int::double end), 7) accuracy from mm group by all""",
     "ag3_ladder_years": f"""{_LONG} select calendar_year "year", model, count(*) n, sum((p < 1e-6 or p > 1 - 1e-6)::int)::bigint clips, round(avg(loss), 8) log_loss, round(avg((p - y) * (p - y)), 8) brier,
       round(avg(case when p = 0.5 then 0.5::double else ((p > 0.5) = (y = 1))::int::double end), 8) accuracy from l group by all""",
     "ag2_ladder_pooled": f"""{_LONG}, a as (select calendar_year, model, count(*) n, sum(loss) s from l group by all)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deuceframe.functions.dates import compact_date
-from deuceframe.operators.lagged import decayed_sum, form_over_last, released
+from deuceframe.operators.lagged import by_day, decayed_sum, form_over_last, released
 from deuceframe.operators.rolling import day_number
 from deuceframe.plans.contests import CONTESTS_SQL, SIDES_SQL, contests, sides
 from deuceframe.sources.tables import table
@@ -20,52 +20,48 @@ def _sides(spark: SparkSession, folder: str) -> DataFrame:
     return sides(contests(spark, folder))
 
 
+def _total(measure: str, first: int | None = None, keys: tuple[str, ...] = ("me",)):
+    """The sum of a daily measure over what is released."""
+    return F.coalesce(F.sum(measure).over(released([*keys], first)), F.lit(0)).cast("bigint")
+
+
+def _flag(condition):
+    return F.coalesce(condition.cast("int"), F.lit(0))
+
+
 def recent_matches(spark: SparkSession, folder: str) -> DataFrame:
-    counts = [F.count(F.lit(1)).over(released(["me"], n)).alias(f"n{n}") for n in (7, 14, 30, 90)]
-    return _sides(spark, folder).select("match_id", "me", *counts)
+    """Matches played in trailing periods; a walkover is none."""
+    counts = {f"n{n}": _total("played", n) for n in (7, 14, 30, 90)}
+    played = F.coalesce(F.col("status") != "walkover", F.lit(True))
+    return by_day(_sides(spark, folder), ["me"], {"played": played.cast("int")}, counts).select("match_id", "me", *counts)
 
 
 def rest_and_absence(spark: SparkSession, folder: str) -> DataFrame:
-    last = F.max("day").over(released(["me"]))
-    return _sides(spark, folder).select(
-        "match_id",
-        "me",
-        F.least(F.coalesce(F.col("day") - last, F.lit(365)), F.lit(365)).alias("rest_days"),
-        last.isNull().cast("int").alias("unseen"),
-        F.count(F.lit(1)).over(released(["me", "surface"])).alias("surface_matches"),
-    )
+    rows = by_day(_sides(spark, folder), ["me"], {"n": F.lit(1)}, {"last": F.max("day").over(released(["me"]))})
+    rows = by_day(rows, ["me", "surface"], {"n": F.lit(1)}, {"surface_matches": _total("n", None, ("me", "surface"))})
+    rest = F.least(F.coalesce(F.col("day") - F.col("last"), F.lit(365)), F.lit(365))
+    return rows.select("match_id", "me", rest.alias("rest_days"), F.col("last").isNull().cast("int").alias("unseen"), "surface_matches")
 
 
 def retirements(spark: SparkSession, folder: str) -> DataFrame:
     gone = (F.col("status") == "retired") & ~F.col("won")
-    since = F.max(F.when(gone, F.col("day"))).over(released(["me"]))
-    return _sides(spark, folder).select(
-        "match_id",
-        "me",
-        F.count_if(gone).over(released(["me"], 90)).alias("ret90"),
-        F.count_if(gone).over(released(["me"], 365)).alias("ret365"),
-        F.least(F.coalesce(F.col("day") - since, F.lit(365)), F.lit(365)).alias("days_since_ret"),
-    )
+    since = F.max(F.when(F.col("gone") > 0, F.col("day"))).over(released(["me"]))
+    rows = by_day(_sides(spark, folder), ["me"], {"gone": _flag(gone)}, {"ret90": _total("gone", 90), "ret365": _total("gone", 365), "since": since})
+    return rows.select("match_id", "me", "ret90", "ret365", F.least(F.coalesce(F.col("day") - F.col("since"), F.lit(365)), F.lit(365)).alias("days_since_ret"))
 
 
 def career_counts(spark: SparkSession, folder: str) -> DataFrame:
-    w = released(["me"])
     final = F.col("round") == "F"
-    return _sides(spark, folder).select(
-        "match_id",
-        "me",
-        *[F.count_if(F.col("tourney_level") == x).over(w).alias(f"level_{x.lower()}") for x in "ACDS"],
-        F.count_if(final).over(w).alias("finals"),
-        F.count_if(final & F.col("won")).over(w).alias("titles"),
-        F.least(F.count_if(F.col("tourney_level") == "S").over(w), F.lit(20)).alias("lower_capped"),
-    )
+    measures = {f"level_{x.lower()}": _flag(F.col("tourney_level") == x) for x in "ACDS"} | {"finals": _flag(final), "titles": _flag(final & F.col("won"))}
+    rows = by_day(_sides(spark, folder), ["me"], measures, {m: _total(m) for m in measures})
+    return rows.select("match_id", "me", *measures, F.least("level_s", F.lit(20).cast("bigint")).alias("lower_capped"))
 
 
 def decayed_serve(spark: SparkSession, folder: str) -> DataFrame:
     """Serve share with a prior of 300 points at 0.6, older points halved every 180 days."""
-    rows = _sides(spark, folder)
-    won = decayed_sum(F.col("spw").cast("double"), ["me"], HALF_LIFE, ORIGIN)
-    played = decayed_sum(F.col("sp").cast("double"), ["me"], HALF_LIFE, ORIGIN)
+    both = {f"x_{c}": decayed_sum(F.col(f"day_{c}"), ["me"], HALF_LIFE, ORIGIN) for c in ("spw", "sp")}
+    rows = by_day(_sides(spark, folder), ["me"], {f"day_{c}": F.col(c).cast("double") for c in ("spw", "sp")}, both)
+    won, played = F.col("x_spw"), F.col("x_sp")
     return rows.select(
         "match_id",
         "me",
@@ -86,7 +82,8 @@ def population_share(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def head_to_head(spark: SparkSession, folder: str) -> DataFrame:
-    rows = contests(spark, folder).withColumn("y", F.col("a_won").cast("int"))
+    played = F.coalesce(F.col("status").isin("completed", "retired"), F.lit(False))
+    rows = contests(spark, folder).withColumn("y", F.when(played, F.col("a_won").cast("int")))
     pair, on = released(["player_a", "player_b"]), released(["player_a", "player_b", "surface"])
     return rows.select(
         "match_id",
@@ -174,7 +171,7 @@ QUERIES = {
     "wn21_debut_ages": debut_ages,
 }
 SQL = {
-    "wn1_recent_matches": BASE + "select match_id, me, " + ", ".join(f"count(*) over {_w('me', str(n))} n{n}" for n in (7, 14, 30, 90)) + " from s",
+    "wn1_recent_matches": BASE + "select match_id, me, " + ", ".join(f"count(*) filter (where coalesce(status <> 'walkover', true)) over {_w('me', str(n))} n{n}" for n in (7, 14, 30, 90)) + " from s",
     "wn3_rest_and_absence": BASE + f"""select match_id, me, least(coalesce(d - max(d) over {_w('me')}, 365), 365) rest_days,
         (max(d) over {_w('me')} is null)::int unseen, count(*) over {_w('me, surface')} surface_matches from s""",
     "wn4_retirements": BASE + f"""select match_id, me, count(*) filter (where status = 'retired' and not won) over {_w('me', '90')} ret90,
@@ -204,7 +201,7 @@ SQL = {
         sum(a_first_won + a_second_won + b_first_won + b_second_won) w, sum(a_serve_points + b_serve_points) p from c group by all)
       select match_date, round(sum(w) over z::double / sum(p) over z::double, 8) "share" from y
       window z as (order by d range between unbounded preceding and 2 preceding)""",
-    "wn13_head_to_head": f"""with {CONTESTS_SQL} select match_id, count(a_won) over {_w('player_a, player_b')} met,
+    "wn13_head_to_head": f"""with {CONTESTS_SQL.replace("player_b, a_won,", "player_b, case when status in ('completed', 'retired') then a_won end a_won,")} select match_id, count(a_won) over {_w('player_a, player_b')} met,
         coalesce(sum(a_won::int) over {_w('player_a, player_b')}, 0)::bigint a_wins, count(a_won) over {_w('player_a, player_b, surface')} met_on_surface,
         round(coalesce(sum(a_won::int - 0.5::double) over {_w('player_a, player_b')}, 0), 4) centred from c""",
     "wn16_changed_traits": """select player_id, count(distinct height) heights, count(distinct dob) births, count(distinct hand) hands
