@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deuceframe.sources.tables import table
-from deuceframe.streaming.settlement import daily_activity_stream, run_available, settle_batch
+from deuceframe.streaming.settlement import daily_activity_stream, released_stream, run_available, settle_batch
 
 
 def settled_results(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,8 +23,18 @@ def event_days(spark: SparkSession, folder: str) -> DataFrame:
     return run_available(daily_activity_stream(spark, f"{folder}/events.parquet"), f"event_days_{uuid.uuid4().hex}", "complete")
 
 
-QUERIES = {"sm5_settled_results": settled_results, "sm1_event_days": event_days}
+def released_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Per user, the events of the stream that are usable at its end: those of two days before its newest and earlier."""
+    schema = table(spark, folder, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet").select(F.col("user_id").cast("string").alias("subject"), F.col("ts").cast("timestamp").alias("at"), "value")
+    out = run_available(released_stream(events), f"released_{uuid.uuid4().hex}")
+    return out.groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+QUERIES = {"sm1_released_events": released_events, "sm5_settled_results": settled_results, "sm1_event_days": event_days}
 SQL = {
+    "sm1_released_events": """select user_id::varchar subject, count(*) n, round(sum(value), 4) total from events
+      where epoch_ms(ts) <= (select max(epoch_ms(ts)) from events) - 2 * 86400000 and user_id is not null and value is not null group by 1""",
     "sm1_event_days": """select ts::date "day", event_type, count(*) n, round(sum(value), 4) total from events group by all""",
     "sm5_settled_results": """with recursive c as (select distinct match_id s, batch_no r, (case when a_won then player_a else player_b end) || '|' || status v from records
         where a_won is not null and match_id is not null and player_a is not null and player_b is not null),

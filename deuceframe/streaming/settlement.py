@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from deuceframe.operators.lagged import LAG
+from deuceframe.session import Scratch
+
 #: Kinds of ledger records that must, and must not, exist for a subject before a kind (fixed values).
 REQUIRES = {
     "fixture_proposed": (), "fixture_qualified": ("fixture_proposed",), "fixture_excluded": ("fixture_proposed",),
@@ -90,12 +92,71 @@ def settle_stream(captures: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its result table."""
-    spark = stream.sparkSession
-    folder = tempfile.mkdtemp(prefix=f"{name}-")
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    """Runs a stream over what is there and returns its result, a table in the shared folder, where its checkpoint is too.
+
+    Appended rows are written as they come; in the other modes each batch's result replaces the one before.
+    """
+    scratch = Scratch(stream.sparkSession, name)
+    out, state = scratch.path("rows"), scratch.path("checkpoint")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.table(name)
+    scratch.drop("checkpoint")
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def released_stream(rows: DataFrame, lag: int = LAG) -> DataFrame:
+    """(subject, day, value) of a stream of rows once they are usable: when the stream has got `lag` days beyond their day.
+
+    rows: subject, at (timestamp), value, of which nothing later than the newest day is withheld for good: the rows wait in
+    the state of their subject, and a timer of event time sets them free. Rows of the last days stay withheld, as they must.
+    """
+    span = lag * 86_400_000
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        for pdf in batches:
+            held += [(int(t.timestamp() * 1000), float(v)) for t, v in zip(pdf["at"], pdf["value"], strict=True)]
+        now = state.getCurrentWatermarkMs()
+        free = sorted(x for x in held if x[0] + span <= now)
+        held = sorted(x for x in held if x[0] + span > now)
+        if held:
+            state.update(([t for t, _ in held], [v for _, v in held]))
+            state.setTimeoutTimestamp(max(held[0][0] + span - 1, now + 1))  # a timer fires once the watermark is beyond it
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"subject": [key[0]] * len(free), "at": pd.to_datetime([t for t, _ in free], unit="ms"), "value": [v for _, v in free]})
+
+    clean = rows.where("subject is not null and at is not null and value is not null").withWatermark("at", "0 seconds")
+    return clean.groupBy("subject").applyInPandasWithState(
+        run, "subject string, at timestamp, value double", "times array<long>, amounts array<double>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def decayed_stream(rows: DataFrame, half_life: float = 180.0) -> DataFrame:
+    """(subject, at, before) of a stream: each row with the decayed sum of its subject's earlier values, halved every
+    half_life days. The state is one number and its time; rows that come in out of order count from when they came."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        total, last = state.get if state.exists else (0.0, None)
+        pdf = pd.concat(list(batches)).sort_values("at", kind="stable")
+        out = []
+        for t, v in zip(pdf["at"], pdf["value"], strict=True):
+            now = int(t.timestamp() * 1000)
+            if last is not None and now > last:
+                total *= 2.0 ** (-(now - last) / 86_400_000 / half_life)
+            out.append((key[0], t, total))
+            total, last = total + float(v), max(now, last if last is not None else now)
+        state.update((total, last))
+        yield pd.DataFrame(out, columns=["subject", "at", "before"])
+
+    clean = rows.where("subject is not null and at is not null and value is not null")
+    return clean.groupBy("subject").applyInPandasWithState(
+        run, "subject string, at timestamp, before double", "total double, last long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def chained(records: DataFrame, genesis: str) -> DataFrame:

@@ -27,6 +27,29 @@ def test_settlement_batch_and_stream_agree(spark, tmp_path):
     assert S.settle_batch(df.where("false")).count() == 0
 
 
+def _daily_files(spark, folder, rows):
+    df = spark.createDataFrame(rows, "subject string, day int, value double").withColumn("at", F.timestamp_seconds(F.col("day") * 86400))
+    days = sorted({r[1] for r in rows})
+    for i, d in enumerate(days):
+        df.where(f"day = {d}").drop("day").coalesce(1).write.parquet(f"{folder}/in/{i:02d}")
+    return spark.readStream.schema(df.drop("day").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+def test_rows_are_released_two_days_later(spark, tmp_path):
+    rows = [("p", d, float(d)) for d in range(10, 20)] + [("q", 12, 1.0), ("q", 18, 2.0), (None, 13, 1.0)]
+    out = S.run_available(S.released_stream(_daily_files(spark, tmp_path, rows)), f"released_{uuid.uuid4().hex}")
+    got = sorted((r.subject, r.value) for r in out.collect())
+    newest = max(d for _, d, _ in rows)
+    assert got == sorted((s, v) for s, d, v in rows if s and d <= newest - 2)
+
+
+def test_decayed_state(spark, tmp_path):
+    rows = [("p", 0, 8.0), ("p", 10, 2.0), ("p", 20, 1.0), ("q", 10, 5.0)]
+    out = S.run_available(S.decayed_stream(_daily_files(spark, tmp_path, rows), half_life=10.0), f"decayed_{uuid.uuid4().hex}")
+    got = sorted((r.subject, int(r["at"].timestamp() // 86400), round(r.before, 9)) for r in out.collect())
+    assert got == [("p", 0, 0.0), ("p", 10, 4.0), ("p", 20, 3.0), ("q", 10, 0.0)]
+
+
 def test_ledger(spark):
     kinds = ["fixture_proposed", "fixture_qualified", "forecast_issued", "result_provisional", "result_final"]
     df = spark.createDataFrame([("L", i + 1, k, "s", str(i)) for i, k in enumerate(kinds)], "ledger string, seq long, kind string, subject string, payload string")
