@@ -166,12 +166,13 @@ def swap_symmetric_predictions(rows: DataFrame, signed: list[str], beta: np.ndar
 
 
 def yearly_models(rows: DataFrame, plan: DataFrame, features: list[str], fit_rows: int = 200_000) -> DataFrame:
-    """Coefficients per fold, fitted only on rows from its window: one task per fold, each on at most `fit_rows` rows
-    (those with the smallest hash). plan: fold, first, last, c; its rows are broadcast, being settings."""
+    """Coefficients per fold, fitted only on rows from its window: one task per fold, each on about `fit_rows` rows at most
+    (all, or those whose hash lies below the share that gives so many). plan: fold, first, last, c; its rows are broadcast,
+    being settings."""
     inside = (F.col("match_date") >= F.col("first")) & (F.col("match_date") <= F.col("last"))
-    chosen = rows.join(F.broadcast(plan), inside).withColumn(
-        "_n", F.expr("row_number() over (partition by fold order by xxhash64(match_id))")
-    ).where(F.col("_n") <= fit_rows)
+    within = rows.join(F.broadcast(plan), inside)
+    share = within.groupBy("fold").agg((F.lit(float(fit_rows)) / F.count(F.lit(1))).alias("_share"))  # a row a fold
+    chosen = within.join(F.broadcast(share), "fold").where(F.pmod(F.xxhash64("match_id"), F.lit(1 << 20)) < F.col("_share") * (1 << 20))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         beta = fit_ridge_logistic(pdf[features].fillna(0.0).to_numpy(float), pdf.y.to_numpy(float), float(pdf.c.iloc[0]))

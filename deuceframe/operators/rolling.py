@@ -85,4 +85,6 @@ def trailing_totals(
 def entity_calendar(daily: DataFrame, extend: int = 0) -> DataFrame:
     """Every (entity, day) from an entity's first active day to `extend` days after its last one."""
     span = daily.groupBy("entity").agg(F.min("day").alias("_from"), F.max("day").alias("_to"))
+    # a few rows that become many: an explicit number of partitions, which are not put together
+    span = span.repartition(4 * daily.sparkSession.sparkContext.defaultParallelism, "entity")
     return span.select("entity", F.explode(F.sequence(F.col("_from"), F.col("_to") + extend)).alias("day"))

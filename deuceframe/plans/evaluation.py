@@ -12,8 +12,9 @@ from deuceframe.operators.evaluation import (
 )
 from deuceframe.operators.models import fit_trees, symmetric_forecast
 from deuceframe.plans.contests import CONTESTS_SQL, contests
+from deuceframe.plans.features import rank_features
 from deuceframe.plans.ratings import elo_forecasts, elo_sql
-from deuceframe.sources.tables import table
+from deuceframe.session import Scratch
 
 #: Four forecasters that need no state: a constant, the stored price, a shrunken price and serve shares of the match.
 MODELS = ["half", "price", "shrunk"]
@@ -113,14 +114,15 @@ def quarter_folds(rows: DataFrame) -> DataFrame:
 
 
 def walk_forward(spark: SparkSession, folder: str) -> DataFrame:
-    """Losses of yearly models on rank and point differences, each fitted before its quarter; from the third quarter on
-    calibrated on all earlier ones."""
-    f = table(spark, folder, "features").select("match_id", "rank_a", "matches_28d_a", "rest_days_a")
+    """Losses of yearly models on the price's log-odds and the differences of log points and rank strength as known two
+    days before (all change sign when the sides are interchanged), each fitted before its quarter; from the third quarter
+    on calibrated on all earlier ones."""
     c = contests(spark, folder, "match_id", "match_date", "a_won", "calendar_year", "ps_probability_a").where("a_won is not null")
-    rows = c.join(f, "match_id").select(
+    rows = c.join(rank_features(spark, folder), "match_id").select(
         "match_id", "match_date", "calendar_year", F.col("a_won").cast("int").alias("y"), F.coalesce(logit(F.col("p")), F.lit(0.0)).alias("x1"),
-        (F.coalesce("matches_28d_a", F.lit(0)) / 10.0 - 0.5).alias("x2"), F.coalesce(F.log1p(F.col("rest_days_a").cast("double")) - 2.0, F.lit(0.0)).alias("x3"),
+        F.col("rank_points_log_diff").alias("x2"), F.col("rank_strength_diff").alias("x3"),
     )
+    rows = Scratch(spark, "walk").write(rows, "rows")  # every fold and calibration reads them
     plan = quarter_folds(rows)
     betas = {r.fold: r.beta for r in yearly_models(rows, plan, ["x1", "x2", "x3"]).collect()}  # one row per fold
     parts = []

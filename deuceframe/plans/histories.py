@@ -135,12 +135,12 @@ def ranking_stream_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def changed_heights(spark: SparkSession, folder: str) -> DataFrame:
-    """Players whose repeated rows give more than one height, birth date or hand."""
+    """How many heights, birth dates and hands each player's rows give, and whether any changed."""
     p = table(spark, folder, "players")
     values = p.groupBy("player_id").agg(
         F.countDistinct("height").alias("heights"), F.countDistinct("dob").alias("births"), F.countDistinct("hand").alias("hands")
     )
-    return values.where("heights > 1 or births > 1 or hands > 1")
+    return values.withColumn("changed", F.expr("heights > 1 or births > 1 or hands > 1"))
 
 
 def debut_ages(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,8 +204,8 @@ SQL = {
     "wn13_head_to_head": f"""with {CONTESTS_SQL.replace("player_b, a_won,", "player_b, case when status in ('completed', 'retired') then a_won end a_won,")} select match_id, count(a_won) over {_w('player_a, player_b')} met,
         coalesce(sum(a_won::int) over {_w('player_a, player_b')}, 0)::bigint a_wins, count(a_won) over {_w('player_a, player_b, surface')} met_on_surface,
         round(coalesce(sum(a_won::int - 0.5::double) over {_w('player_a, player_b')}, 0), 4) centred from c""",
-    "wn16_changed_traits": """select player_id, count(distinct height) heights, count(distinct dob) births, count(distinct hand) hands
-      from players group by 1 having heights > 1 or births > 1 or hands > 1""",
+    "wn16_changed_traits": """select player_id, count(distinct height) heights, count(distinct dob) births, count(distinct hand) hands,
+      count(distinct height) > 1 or count(distinct dob) > 1 or count(distinct hand) > 1 changed from players group by 1""",
     "wn18_ranking_stream_quality": """select source_member, count(*) "rows", count(distinct effective_date) editions,
         count(distinct player_id) players, count(*) filter (where earlier) order_decreases from
       (select *, effective_date < lag(effective_date) over (partition by source_member order by source_physical_line, player_id) earlier from rankings)

@@ -150,7 +150,7 @@ def opponents_alike(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def country_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Components of the countries that a city's typed locations connect."""
+    """The sizes of the sets of players whom contests connect."""
     p = contests(spark, folder, "match_id", "player_a", "player_b").where("player_a is not null and player_b is not null")
     return components(p, "player_a", "player_b").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
@@ -172,6 +172,8 @@ QUERIES = {
     "j33_edition_claims": edition_claims, "j34_carried_resolutions": carried_resolutions, "se4_batch_diff": batch_diff,
 }
 SQL = {
+    "j20_components": f"""with recursive {CONTESTS_SQL}, e as (select player_a x, player_b y from c where player_a is not null and player_b is not null union select player_b, player_a from c where player_a is not null and player_b is not null),
+      r(p, q) as (select x, x from e union select r.p, e.y from r join e on e.x = r.q), k as (select p, min(q) component from r group by p) select component, count(*) nodes from k group by 1""",
     "j3_dated_with_fallback": f"""with {CONTESTS_SQL}, a as (select tourney_id, round, max(match_date) m from c group by all), b as (select tourney_id, max(match_date) m from c group by all)
       select source_key, coalesce(a.m, b.m, try_strptime(r.tourney_date, '%Y%m%d')::date + 7) "date",
         case when a.m is not null then 'round' when b.m is not null then 'tourney' else 'anchor_plus_7' end basis
