@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -11,14 +12,15 @@ from pyspark.sql import functions as F
 
 from deuceframe.functions import numbers as N
 from deuceframe.functions.names import full_name_signatures, plain_name, surname_signature, without_disambiguator
-from deuceframe.functions.scores import round_word, score_status, score_totals, winner_game_share
+from deuceframe.functions.scores import normal_score, round_word, score_status, score_totals, winner_game_share
 from deuceframe.operators.evaluation import block_bootstrap, equal_year_slope, fit_ridge_logistic, pool, reliability, select_within
 from deuceframe.operators.folds import ELO_SCHEMA, RD_GROWTH, AllTierRatings, FilterSettings, PooledElo, RatingSuite, ServeFilter, ordered_fold
 from deuceframe.operators.known_at import attributes_as_known, change_history, newest_edition_by_day
-from deuceframe.operators.lagged import decayed_sum, form_over_last, released
+from deuceframe.operators.lagged import by_day, decayed_sum, form_over_last, released
 from deuceframe.operators.linking import cascade, components, guarded_patch, merge_with_precedence, residual_similarity, snapshot_diff, sole_claimants, unique_pairs
 from deuceframe.operators.rolling import daily_totals, entity_calendar, trailing_totals
 from deuceframe.plans import evaluation as evaluation_plans
+from deuceframe.plans import ratings as rating_plans
 
 
 def test_trailing_totals_against_brute_force(spark):
@@ -278,7 +280,7 @@ def test_trees_are_swap_symmetric(spark):
 def test_game_shares_reach_the_suite(spark):
     rows = spark.createDataFrame([("m1", "T", "QF", 1, 2, True), ("m2", "T", "SF", 2, 1, True), ("m3", "T", "F", 1, 2, True), ("m4", "U", "QF", 1, 2, None)], "match_id string, tourney_id string, round string, player_a long, player_b long, a_won boolean")
     raw = spark.createDataFrame([("T", "QF", 1, 2, "6-0 6-0"), ("T", "SF", 2, 1, "6-4 4-6 6-4"), ("T", "F", 2, 1, "6-1 6-1"), ("U", "QF", 1, 2, "6-1 6-1")], "tourney_id string, round string, winner_id long, loser_id long, score string")
-    got = {r.match_id: r.game_share for r in evaluation_plans.game_shares(rows, raw).collect()}
+    got = {r.match_id: r.game_share for r in rating_plans.game_shares(rows, raw).collect()}
     assert got == {"m1": 1.0, "m2": pytest.approx(16 / 30), "m3": None, "m4": None}
 
 
@@ -288,3 +290,52 @@ def test_walk_forward_folds_cover_the_data(spark):
     got = {r.fold: (r.first, r.last) for r in plan.collect()}
     assert sorted(got) == ["2023Q1", "2023Q2", "2023Q3", "2023Q4", "2024Q1", "2024Q2"]
     assert got["2023Q2"] == (dt.date(2022, 4, 1), dt.date(2023, 3, 30)) and got["2023Q4"] == (dt.date(2022, 10, 1), dt.date(2023, 9, 29))
+
+
+def test_rounds_of_draws_with_byes(spark):
+    rows = [("R32", 28, "1st Round"), ("R16", 28, "2nd Round"), ("R64", 48, "1st Round"), ("R64", 96, "2nd Round"), ("R128", 96, "1st Round"), ("R32", 56, "2nd Round"), ("R16", 16, "1st Round"), ("R16", 128, "4th Round"), ("R64", 32, None), ("RR", 8, "Round Robin"), ("RR", None, "Round Robin"), ("R32", None, None), (None, 32, None), ("SF", 4, "Semifinals")]
+    df = spark.createDataFrame(rows, "round string, draw int, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", round_word(F.col("round"), F.col("draw"))).collect())
+
+
+def test_normal_scores(spark):
+    rows = [("6–4 6 - 3", "6-4 6-3"), ("6-4, 2-1 ret.", "6-4 2-1 RET"), ("0–0 walkover", "W/O"), ("7-6(5)&nbsp;6-0", "7-6(5) 6-0"), ("6-1 0-0 Retired", "6-1 RET"), ("  ", None), (None, None), ("10-0 6-0", "10-0 6-0")]
+    df = spark.createDataFrame(rows, "score string, want string")
+    assert [(r.score, r.got) for r in df.withColumn("got", normal_score(F.col("score"))).collect()] == rows
+
+
+def test_daily_windows_equal_row_windows(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["Hard", None]), rng.choice([None, *range(40)]), rng.choice([None, 1, 2, 3])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, me int, surface string, day int, v int")
+    plain = df.where("day is not null").select("id", F.sum("v").over(released(["me", "surface"], 9)).alias("a"))
+    got = by_day(df.where("day is not null"), ["me", "surface"], {"daily": F.col("v")}, {"a": F.sum("daily").over(released(["me", "surface"], 9))}).select("id", "a")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, got.collect())) and got.count() == df.where("day is not null").count()
+    assert by_day(df.where("false"), ["me"], {"daily": F.col("v")}, {"a": F.sum("daily").over(released(["me"]))}).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the tables are not here")
+def test_queries_against_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for f in Path(folder).glob("*.parquet"):
+        con.sql(f"create view {f.stem} as select * from '{f}'")
+    plain = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else str(v)[:10] if hasattr(v, "isoformat") else v
+    queries, sql = entry.queries(), entry.oracle_sql()
+    for name in ("fo2_elo_forecasts", "fo3_tier_elo", "wn1_activity", "wn5_experience", "wn9_tier_form", "ma16_assembled", "rs1_match_bootstrap", "rs3_simultaneous_intervals", "j2_set_joined", "j11_classified_names", "wn22_patience"):
+        got, want = queries[name](spark, folder), con.sql(sql[name])
+        columns = sorted(got.columns)
+        assert columns == sorted(want.columns), name
+        rows = sorted([tuple(plain(r[c]) for c in columns) for r in got.collect()], key=str)
+        at = [want.columns.index(c) for c in columns]
+        assert rows == sorted([tuple(plain(r[i]) for i in at) for r in want.fetchall()], key=str), name
+
+
+def test_fuzzy_surnames(spark):
+    from deuceframe.plans.more import archive_signature, market_signature
+
+    df = spark.createDataFrame([("Plioltrek S.", "Skura Trolpliek"), ("Van Doren A.B.", "Ana van Doren"), (None, None), ("", "")], "m string, a string")
+    assert [tuple(r) for r in df.select(market_signature(F.col("m")), archive_signature(F.col("a"))).collect()] == [("plioltrek", "trolpliek"), ("van doren", "van doren"), (None, None), ("", "")]
