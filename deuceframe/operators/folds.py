@@ -7,6 +7,7 @@ group. Rows of a day are read with the state two days before it.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import exp, log, pi, sqrt
@@ -27,30 +28,58 @@ RD_MAX, RD_GROWTH = 350.0, (350.0**2 - 50.0**2) / (3 * 365.0)
 SKILL_RATE, INTERCEPT_RATE, SERVE_SHARE = 0.002, 0.0001, 0.62
 
 
+class Rows:
+    """Some rows as arrays, one attribute a column; much lighter than a frame for the few rows of a day."""
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.columns = columns
+        self.__dict__.update(columns)
+
+    def __len__(self) -> int:
+        return len(self.day)
+
+    def __getitem__(self, at) -> Rows:
+        return Rows({k: v[at] for k, v in self.columns.items()})
+
+    def tuples(self) -> Iterator:
+        row = namedtuple("row", self.columns)
+        return map(row._make, zip(*[v.tolist() for v in self.columns.values()], strict=True))
+
+    @classmethod
+    def of(cls, pdf: pd.DataFrame) -> Rows:
+        return cls({c: pdf[c].to_numpy() for c in pdf.columns})
+
+    @classmethod
+    def joined(cls, parts: list[Rows]) -> Rows:
+        return parts[0] if len(parts) == 1 else cls({k: np.concatenate([p.columns[k] for p in parts]) for k in parts[0].columns})
+
+
 class Fold:
     """A population's state: `read` gives a day's rows their values, `release` takes a day's rows into the state."""
 
     def __init__(self) -> None:
-        self.pending: list[pd.DataFrame] = []
+        self.pending: list[Rows] = []
 
-    def read(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def read(self, rows: Rows) -> dict[str, np.ndarray]:
         raise NotImplementedError
 
-    def release(self, rows: pd.DataFrame) -> None:
+    def release(self, rows: Rows) -> None:
         raise NotImplementedError
 
-    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def feed(self, pdf: pd.DataFrame) -> pd.DataFrame:
         """The next rows, in order of day; their values."""
-        out = []
-        for day, part in rows.groupby("day", sort=True):
-            while self.pending and self.pending[0].day.iloc[0] <= day - LAG_DAYS:
-                first, batch = self.pending[0].day.iloc[0], []
-                while self.pending and self.pending[0].day.iloc[0] == first:
+        rows, out = Rows.of(pdf), []
+        days, starts = np.unique(rows.day, return_index=True)
+        for day, start, stop in zip(days.tolist(), starts, [*starts[1:], len(pdf)], strict=True):
+            while self.pending and self.pending[0].day[0] <= day - LAG_DAYS:
+                first, batch = self.pending[0].day[0], []
+                while self.pending and self.pending[0].day[0] == first:
                     batch.append(self.pending.pop(0))
-                self.release(pd.concat(batch) if len(batch) > 1 else batch[0])
+                self.release(Rows.joined(batch))
+            part = rows[start:stop]
             out.append(self.read(part))
             self.pending.append(part)
-        return pd.concat(out, ignore_index=True)
+        return pd.DataFrame({"match_id": rows.match_id} | {k: np.concatenate([o[k] for o in out]) for k in out[0]})
 
 
 def ordered_fold(rows: DataFrame, group: list[str], order: list[str], start: Callable[[tuple], Fold], schema: str) -> DataFrame:
@@ -79,8 +108,13 @@ def expected(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + 10.0 ** ((b - a) / SCALE))
 
 
-def _outcomes(values: pd.Series) -> np.ndarray:
-    return values.map({True: 1.0, False: 0.0}).to_numpy(float) if values.dtype == object or values.dtype == bool else values.to_numpy(float)
+def _outcomes(values: np.ndarray) -> np.ndarray:
+    """1 and 0 for true and false, nan for what is missing; numbers stay."""
+    return values.astype(float) if values.dtype.kind in "fib" else np.array([np.nan if v is None or v != v else float(v) for v in values.tolist()])
+
+
+def _known(surface: np.ndarray) -> np.ndarray:
+    return np.array([s in SURFACES for s in surface.tolist()], bool)
 
 
 class PooledElo(Fold):
@@ -103,17 +137,17 @@ class PooledElo(Fold):
         base = self.start.get
         return np.array([ratings[k] if k in ratings else base(k[0] if isinstance(k, tuple) else k, INITIAL) for k in keys], float)
 
-    def release(self, rows: pd.DataFrame) -> None:
-        y = _outcomes(rows[self.column])
+    def release(self, rows: Rows) -> None:
+        y = _outcomes(rows.columns[self.column])
         rows, y = rows[~np.isnan(y)], y[~np.isnan(y)]
         a, b = rows.player_a.tolist(), rows.player_b.tolist()
         k = np.full(len(rows), self.k)
         if self.weights is not None:
-            k *= rows.tier.map(self.weights).to_numpy(float)
-            for x, z, tier in zip(a, b, rows.tier, strict=True):
+            k *= np.array([self.weights[t] for t in rows.tier.tolist()], float)
+            for x, z, tier in zip(a, b, rows.tier.tolist(), strict=True):
                 for player in (x, z):
                     self.start.setdefault(player, INITIAL if tier == "tour" else INITIAL + self.offset)
-        on = np.flatnonzero(rows.surface.isin(SURFACES))
+        on = np.flatnonzero(_known(rows.surface))
         surface = rows.surface.tolist()
         sa, sb = [(a[i], surface[i]) for i in on], [(b[i], surface[i]) for i in on]
         for ratings, x, z, yy, kk in ((self.overall, a, b, y, k), (self.surface, sa, sb, y[on], k[on])):
@@ -126,17 +160,15 @@ class PooledElo(Fold):
             for key in (*x, *z):
                 self.seen[key] = self.seen.get(key, 0) + 1
 
-    def read(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def read(self, rows: Rows) -> dict[str, np.ndarray]:
         a, b, s = rows.player_a.tolist(), rows.player_b.tolist(), rows.surface.tolist()
         ra, rb = self._of(self.overall, a), self._of(self.overall, b)
-        on = rows.surface.isin(SURFACES).to_numpy()
+        on = _known(rows.surface)
         ka, kb = list(zip(a, s, strict=True)), list(zip(b, s, strict=True))
         whole = expected(ra, rb)
         part = np.where(on, expected(self._of(self.surface, ka), self._of(self.surface, kb)), whole)
         absent = lambda keys: np.array([int(self.seen.get(k, 0) == 0) for k in keys])
-        return pd.DataFrame(
-            {"match_id": rows.match_id.to_numpy(), "p_overall": whole, "p_surface": part, "p": (whole + part) / 2, "absent_a": absent(a), "absent_b": absent(b), "absent_surface_a": absent(ka), "absent_surface_b": absent(kb)}
-        )
+        return {"p_overall": whole, "p_surface": part, "p": (whole + part) / 2, "absent_a": absent(a), "absent_b": absent(b), "absent_surface_a": absent(ka), "absent_surface_b": absent(kb)}
 
 
 ELO_SCHEMA = "match_id string, p_overall double, p_surface double, p double, absent_a int, absent_b int, absent_surface_a int, absent_surface_b int"
@@ -156,13 +188,14 @@ class RatingSuite(Fold):
         self.r: list[dict] = [{} for _ in range(6)]  # fixed, fixed by surface, decaying, by games, mixed, mixed by surface
         self.n: dict = {}
 
-    def release(self, rows: pd.DataFrame) -> None:
+    def release(self, rows: Rows) -> None:
         steps: list[dict] = [{} for _ in range(6)]
         met: list = []
-        share = pd.to_numeric(rows.game_share).fillna(1.0).tolist()
-        for a, b, s, y, level, games in zip(rows.player_a, rows.player_b, rows.surface, _outcomes(rows.a_won), rows.tourney_level, share, strict=True):
+        columns = (rows.player_a, rows.player_b, rows.surface, _outcomes(rows.a_won), rows.tourney_level, rows.game_share)
+        for a, b, s, y, level, games in zip(*[c.tolist() for c in columns], strict=True):
             if y != y:
                 continue
+            games = 1.0 if games is None or games != games else games
             keys = [(a, b)] * 6
             known = s in SURFACES
             keys[1] = keys[5] = ((a, s), (b, s))
@@ -184,22 +217,19 @@ class RatingSuite(Fold):
         for key in met:
             self.n[key] = self.n.get(key, 0) + 1
 
-    def read(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def read(self, rows: Rows) -> dict[str, np.ndarray]:
         get = lambda i, keys: np.array([self.r[i].get(k, INITIAL) for k in keys], float)
         a, b, s = rows.player_a.tolist(), rows.player_b.tolist(), rows.surface.tolist()
         ka, kb = list(zip(a, s, strict=True)), list(zip(b, s, strict=True))
-        known = rows.surface.isin(SURFACES).to_numpy()
+        known = _known(rows.surface)
         whole = expected(get(0, a), get(0, b))
         mix = lambda keys, on: np.where(known, 0.71 * get(4, keys) + 0.29 * get(5, on), get(4, keys))
-        return pd.DataFrame(
-            {
-                "match_id": rows.match_id.to_numpy(),
-                "fixed_k": np.where(known, (whole + expected(get(1, ka), get(1, kb))) / 2, whole),
-                "decaying_k": expected(get(2, a), get(2, b)),
-                "games_weighted": expected(get(3, a), get(3, b)),
-                "surface_mix": expected(mix(a, ka), mix(b, kb)),
-            }
-        )
+        return {
+            "fixed_k": np.where(known, (whole + expected(get(1, ka), get(1, kb))) / 2, whole),
+            "decaying_k": expected(get(2, a), get(2, b)),
+            "games_weighted": expected(get(3, a), get(3, b)),
+            "surface_mix": expected(mix(a, ka), mix(b, kb)),
+        }
 
 
 @dataclass
@@ -237,9 +267,9 @@ class AllTierRatings(Fold):
             self.players[player] = Rated(start, start, day)
         return self.players[player]
 
-    def release(self, rows: pd.DataFrame) -> None:
+    def release(self, rows: Rows) -> None:
         q = log(10) / SCALE
-        for r in rows.itertuples():
+        for r in rows.tuples():
             day, weight = int(r.day), TIER_WEIGHT[r.tier]
             w, x = (self.players[p] for p in ((r.player_a, r.player_b) if r.a_won is True or r.a_won == 1 else (r.player_b, r.player_a)))
             known = r.a_won is not None and r.a_won == r.a_won
@@ -267,16 +297,14 @@ class AllTierRatings(Fold):
                 b.serve, a.ret = b.serve + SKILL_RATE * rb, a.ret - SKILL_RATE * rb
                 self.mu += INTERCEPT_RATE * (ra + rb)
 
-    def read(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def read(self, rows: Rows) -> dict[str, np.ndarray]:
         out = []
-        for r in rows.itertuples():
+        for r in rows.tuples():
             day = int(r.day)
             a, b = self._get(r.player_a, r.tier, day), self._get(r.player_b, r.tier, day)
             on = [p.surface.get(r.surface, p.start) if r.surface in SURFACES else np.nan for p in (a, b)]
             out.append((a.elo, b.elo, a.tour, b.tour, *on, a.widened(day), b.widened(day), a.serve, b.serve, a.ret, b.ret, self.mu))
-        frame = pd.DataFrame(np.array(out, float).reshape(-1, 13), columns=ALL_TIER_VALUES)
-        frame.insert(0, "match_id", rows.match_id.to_numpy())
-        return frame
+        return dict(zip(ALL_TIER_VALUES, np.array(out, float).reshape(-1, 13).T, strict=True))
 
 
 ALL_TIER_VALUES = ["elo_a", "elo_b", "tour_a", "tour_b", "surface_a", "surface_b", "rd_a", "rd_b", "serve_a", "serve_b", "return_a", "return_b", "mu"]
@@ -332,8 +360,8 @@ class ServeFilter(Fold):
             return base, [0.0] * 4
         return base, at(self.on.get((player, surface)), self.s.surface_variance, self.growth_on)
 
-    def release(self, rows: pd.DataFrame) -> None:
-        for r in rows.itertuples():
+    def release(self, rows: Rows) -> None:
+        for r in rows.tuples():
             if not r.counted:
                 continue
             day, surface, temper = int(r.day), r.surface, 1.0 if r.tier == "tour" else self.s.temper_lower
@@ -354,16 +382,14 @@ class ServeFilter(Fold):
                 if self.s.surface_variance > 0 and surface in SURFACES:
                     self.on[player, surface] = new[1]
 
-    def read(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def read(self, rows: Rows) -> dict[str, np.ndarray]:
         out = []
-        for r in rows.itertuples():
+        for r in rows.tuples():
             (a, da), (b, db) = self._state(r.player_a, r.surface, int(r.day)), self._state(r.player_b, r.surface, int(r.day))
             m = self._intercept(r.tier, r.surface)[1]
             spread = [x[2] + x[3] + d[2] + d[3] for x, d in ((a, da), (b, db))]
             out.append((a[0], a[1], b[0], b[1], *spread, m + a[0] + da[0] - b[1] - db[1], m + b[0] + db[0] - a[1] - da[1]))
-        frame = pd.DataFrame(np.array(out, float).reshape(-1, 8), columns=FILTER_VALUES)
-        frame.insert(0, "match_id", rows.match_id.to_numpy())
-        return frame
+        return dict(zip(FILTER_VALUES, np.array(out, float).reshape(-1, 8).T, strict=True))
 
 
 FILTER_VALUES = ["serve_a", "return_a", "serve_b", "return_b", "variance_a", "variance_b", "eta_a", "eta_b"]
