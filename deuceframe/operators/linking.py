@@ -114,7 +114,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         jump = lower.select(F.col("node").alias("label"), F.col("label").alias("ahead"))
         ahead = lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("ahead", "label")).alias("label"))
         labels = scratch.write(ahead, f"labels{step}")
+        scratch.drop(f"labels{step - 1}")
         if labels.where("label <> old").isEmpty():
+            scratch.keep_only(f"labels{step}")
             return labels.select("node", F.col("label").alias("component"))
         labels = labels.drop("old")
 

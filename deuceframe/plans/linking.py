@@ -142,7 +142,7 @@ def batch_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def opponents_alike(spark: SparkSession, folder: str) -> DataFrame:
-    """Winners of the market and of the archive by their opponents' countries: multiset similarity of at least 0.9."""
+    """Winners of the first season and of the second by the names of those they beat: multiset similarity of one half or more."""
     raw = table(spark, folder, "raw_matches")
     left = raw.where("season = 2022").select(F.col("winner_name").alias("n"), F.col("loser_name").alias("o"))
     right = raw.where("season = 2023").select(F.col("winner_name").alias("n"), F.col("loser_name").alias("o"))
