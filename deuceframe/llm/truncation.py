@@ -39,9 +39,10 @@ HOT_SHARE = 1 / 2000
 MARKS = re.compile(
     r"(?:\s*(?:\[more\]|\[\.\.\.\]|…|\.\.\.|�|&[a-z#0-9]{0,6};?|</?[a-z]{0,8}\s*/?>?|[<(\[{])\s*)+$"
 )
-#: A text whose ending, mark included, has this many characters in common with that of this many other texts is
-#: judged with its mark: its author put it there.
-MARK_CONTEXT, MARK_TEXTS = CHAR_ORDERS.index(8), 3
+#: A text is judged with its mark (its author put it there) if this many other texts have the same mark behind the same
+#: characters, as many as the order says, and if at least this share of all places with these characters ends so. The
+#: share is what tells an author's phrase from a mark that transport put behind many cuts, however many texts there are.
+MARK_CONTEXT, MARK_TEXTS, MARK_SHARE = CHAR_ORDERS.index(8), 3, 0.1
 #: Ends and steps of the histograms of log-odds (values beyond count at the ends), the weight of the pooled one in each
 #: group's, and how deep a valley must be, against the lower of the heights beside it, to be one.
 LOW, HIGH, BIN = -30.0, 15.0, 0.25
@@ -133,23 +134,27 @@ def strip_mark(text: str) -> str:
     return MARKS.sub("", text).rstrip()
 
 
-def _bare(text: str, tail: str) -> str:
-    """The end of the text without its mark."""
+def _bare(text: str, tail: str) -> tuple[str, str]:
+    """The end of the text without its mark, and the mark."""
     bare = strip_mark(tail)
     if len(bare) < len(tail) < len(text) and bare.count(" ") <= max(SHAPE_ORDERS):
-        return _end(strip_mark(text))
-    return bare
+        bare = strip_mark(text)
+        return _end(bare), text[len(bare) :]
+    return bare, tail[len(bare) :]
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, hash of the text, contexts of the end, contexts of the end without its mark or null)."""
+    """(doc_id, hash of the text, contexts of the end, contexts of the end without its mark or null, the mark and what
+    stands before it or null)."""
     for batch in batches:
         ids, texts = batch.column(0), [(t or "").replace("\x01", " ").rstrip() for t in batch.column(2).to_pylist()]
         keep = [i for i, t in enumerate(texts) if t]
         if not keep:
             continue
         tails = [_end(texts[i]) for i in keep]
-        bare = [_bare(texts[i], t) for t, i in zip(tails, keep, strict=True)]
+        bare, mark = zip(*[_bare(texts[i], t) for t, i in zip(tails, keep, strict=True)], strict=True)
+        size = CHAR_ORDERS[MARK_CONTEXT]
+        marks = [("\x01" * size + b)[-size:] + m if b and m else None for b, m in zip(bare, mark, strict=True)]
         rows = []
         for part in (tails, [b if b and b != t else "" for b, t in zip(bare, tails, strict=True)]):
             at = [i for i, t in enumerate(part) if t]
@@ -166,8 +171,9 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(1).take(take),
                 pa.array(rows[0], pa.list_(pa.int64())),
                 pa.array(rows[1], pa.list_(pa.int64())),
+                pa.array(marks, pa.string()),
             ],
-            ["doc_id", "text_hash", "ending", "bare"],
+            ["doc_id", "text_hash", "ending", "bare", "mark"],
         )
 
 
@@ -262,8 +268,9 @@ def _score(priors: tuple[float, float]):
 
             whole = best(n, ends, 1)
             marked = pdf["marked"].to_numpy(bool)
-            bare = best(table("n_bare"), table("ends_bare"), 0)
-            authors = ends[:, MARK_CONTEXT] - 1 >= MARK_TEXTS
+            n_bare = table("n_bare")
+            bare = best(n_bare, table("ends_bare"), 0)
+            authors = (pdf["mark_texts"] - 1 >= MARK_TEXTS) & (pdf["mark_rows"] >= MARK_SHARE * n_bare[:, MARK_CONTEXT])
             yield pd.DataFrame({"doc_id": pdf.doc_id, "log_odds": np.where(marked & ~authors, bare, whole)})
 
     return run
@@ -334,7 +341,7 @@ def truncated(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     endings = scratch.write(
         given.mapInArrow(
-            _endings, f"doc_id {kind}, text_hash bigint, ending array<bigint>, bare array<bigint>"
+            _endings, f"doc_id {kind}, text_hash bigint, ending array<bigint>, bare array<bigint>, mark string"
         ),
         "endings",
     )
@@ -377,8 +384,20 @@ def truncated(docs: DataFrame) -> DataFrame:
     )
     cold = asked.join(F.broadcast(hot.select("j", "h")), ["j", "h"], "left_anti").join(known, ["j", "h"])
     found = asked.join(F.broadcast(hot), ["j", "h"]).unionByName(cold)
+    # the marks come as one more order: texts and rows that end in the same mark behind the same characters
+    with_mark = endings.where("mark is not null")
+    shared_marks = (
+        with_mark.groupBy("mark").agg(F.count_distinct("text_hash").alias("ends"), F.count(F.lit(1)).alias("n"))
+        .where(F.col("ends") > MARK_TEXTS)
+    )
+    found = found.unionByName(
+        with_mark.select("doc_id", "mark", F.lit(True).alias("is_bare"), F.lit(N_ORDERS).alias("j"), F.lit(0).cast("bigint").alias("h"))
+        .join(shared_marks, "mark").drop("mark"),
+        allowMissingColumns=True,
+    )
     cells = found.groupBy("doc_id").agg(
         F.max("is_bare").alias("marked"),
+        *[F.coalesce(F.max(F.when(F.col("j") == N_ORDERS, F.col(c))), F.lit(0)).alias(name) for c, name in (("n", "mark_rows"), ("ends", "mark_texts"))],
         *[
             F.array(*[F.coalesce(F.max(F.when((F.col("j") == j) & (F.col("is_bare") == bare), F.col(c))), F.lit(0)) for j in range(N_ORDERS)]).alias(name)
             for c, bare, name in (

@@ -381,6 +381,29 @@ def test_truncation(spark):
     assert truncation.truncated(df.where("false")).count() == 0
 
 
+def test_marks_of_transport_behind_many_cuts(spark):
+    """Marks behind cuts of many texts are no authors' marks, though the last letter and the mark recur; a phrase's own mark is."""
+    rng = random.Random(3)
+    words = ["court", "umpire", "rain", "clay", "serve", "final", "card", "tunnel", "ball", "crowd", "feed", "draw"]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(5, 9))).capitalize() + "."
+    docs, cut, authors = [], set(), set()
+    for i in range(3000):
+        text = " ".join(sentence() for _ in range(rng.randint(2, 5)))
+        if i % 12 == 0:
+            at = rng.randint(30, len(text) - 3)
+            while not (text[at - 1].isalpha() and text[at].isalpha()):
+                at -= 1
+            text, _ = text[:at] + " [more]", cut.add(i)
+        elif i % 12 == 1:
+            text, _ = text + " And nobody came...", authors.add(i)
+        docs.append((i, text, "en", "src"))
+    docs += [(4000 + k, docs[1][1], "en", "src") for k in range(40)]  # copies count with copies
+    out = truncation.truncated(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).toPandas()
+    found = set(out.doc_id[out.is_cut])
+    assert len(found & cut) / len(cut) > 0.95
+    assert not found & authors and len(found - cut) <= 5 and not found & set(range(4000, 4040))
+
+
 def test_truncation_filter_in_passes_and_valleys(spark, monkeypatch):
     docs = [(i, f"the report of day {i % 7} ends here" + ("." if i % 9 else ""), "en", "s") for i in range(300)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
